@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, simhash
+from . import packing, rules, simhash, substring
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.dedup(table(spark, folder, "documents"), want_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -33,6 +38,7 @@ def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash": op4_simhash,
         "op8_rule_ledger": op8_rule_ledger,
     }
