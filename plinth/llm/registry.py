@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, simhash, substring
-from .common import table
+from . import packing, ranking, rules, simhash, substring
+from .common import held_out, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,12 +35,19 @@ def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op10_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = ranking.score(docs, ranking.learn(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash": op4_simhash,
         "op8_rule_ledger": op8_rule_ledger,
+        "op10_quality_ranking": op10_quality_ranking,
     }
 
 
