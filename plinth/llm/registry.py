@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, ranking, rules, simhash, substring
+from . import bpe, packing, ranking, rules, simhash, substring
 from .common import held_out, table
 
 
@@ -35,6 +35,13 @@ def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe.encode(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, want_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = ranking.score(docs, ranking.learn(docs, table(spark, folder, "labels")))
@@ -47,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash": op4_simhash,
         "op8_rule_ledger": op8_rule_ledger,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_ranking": op10_quality_ranking,
     }
 
