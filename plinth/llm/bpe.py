@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_steps
 
 LONG = 128
+#: Letters and a tail of marks: after a space, one or two pieces by the usual pattern (a codec tries it out first).
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%&*#$]*)")
 MEMORY = "400MB"
 
 #: Contracts the leftmost minimum-rank pair of each piece until none is left.
@@ -110,16 +112,18 @@ class Codec:
     """One a Python worker: the database, and memoised pieces and space-led chunks."""
 
     #: Entries kept; some 200 bytes each.
-    LIMIT = 400_000
+    LIMIT, LIMIT_PIECES = 400_000, 700_000
     _shared: dict[tuple[str, str], "Codec"] = {}
     #: A space before another white space or the end: such texts are cut by the pattern alone.
     _LOOSE = re.compile(r" (?=\s|\Z)")
 
     def __init__(self, path: str, pattern: str):
         import duckdb
+        import numpy as np
         import regex
 
         self.pattern = regex.compile(pattern)
+        self.plain = _PLAIN if all(self.pattern.findall(f" {a}{b}") == [f" {a}", *filter(None, [b])] for a in ("ab", "Éaß", "z") for b in ("", ".", "!?,", "|%&*#$", ";:")) else re.compile(r"(?!)")
         self.ranks = read_ranks(path)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         first, second, merged = merges(self.ranks)
@@ -130,7 +134,7 @@ class Codec:
         self.db.register("t", tokens)
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM t")
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.single = [self.ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
@@ -142,12 +146,18 @@ class Codec:
 
     def contract(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pieces, by the recursive query."""
-        at, pos, token = array("i"), array("i"), array("i")
-        for k, p in enumerate(pieces):
-            at.extend([k] * len(p))
-            pos.extend(range(len(p)))
-            token.extend([self.single[b] for b in p])
-        start = pa.table({n: pa.array(memoryview(c), pa.int32()) for n, c in (("piece", at), ("pos", pos), ("token", token))})
+        import numpy as np
+
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        total = int(sizes.sum())
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = pa.table(
+            {
+                "piece": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
+                "pos": (np.arange(total) - first).astype(np.int32),
+                "token": self.single[np.frombuffer(b"".join(pieces), np.uint8)],
+            }
+        )
         self.db.register("start", start)
         found = self.db.execute(CONTRACT).to_arrow_table()
         self.db.unregister("start")
@@ -157,7 +167,7 @@ class Codec:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) > self.LIMIT:
+        if len(self.pieces) > self.LIMIT_PIECES:
             self.pieces = {}
         todo: list[str] = []
         for p in pieces:
@@ -189,7 +199,12 @@ class Codec:
             else:
                 heads.append(find(s[0]))
                 led.update(s[1:])
-        fresh = [(w, find(" " + w)) for w in led if w not in chunks]
+        plain = self.plain.fullmatch
+        fresh = []
+        for w in led:
+            if w not in chunks:
+                m = plain(w)
+                fresh.append((w, (f" {m[1]}", m[2]) if m and m[2] else (f" {w}",) if m else find(f" {w}")))
         self._learn({p for _, ps in fresh for p in ps}.union(*heads))
         pieces = self.pieces.__getitem__
         for w, ps in fresh:
