@@ -217,8 +217,9 @@ def dedup(docs: DataFrame, text: str = "text", want_text: bool = True) -> DataFr
 def strip_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their duplicate spans cut out of the text (kept words, one space between).
 
-    All other columns stay as they were; documents left without words stay, with
-    an empty text.  Rows without an id, and rows that repeat one, are matched by id.
+    All other columns stay as they were, and so do texts that lose nothing;
+    documents left without words stay, with an empty text.  Rows without an id,
+    and rows that repeat one, are matched by id.
     """
     names = docs.columns
     found = dedup(docs, text).where("n_removed > 0").groupBy("doc_id").agg(F.max("kept_text").alias("kept_text"))
