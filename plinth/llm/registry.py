@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, ranking, rules, simhash, substring
+from . import bpe, htmltext, packing, ranking, rules, simhash, substring
 from .common import held_out, table
 
 
@@ -30,6 +30,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(table(spark, folder, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash": op4_simhash,
+        "op7_html_text": op7_html_text,
         "op8_rule_ledger": op8_rule_ledger,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_ranking": op10_quality_ranking,
