@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, packing, ranking, rules, simhash, substring
+from . import bpe, htmltext, packing, ranking, rules, simhash, substring, topk, urllists
 from .common import held_out, table
 
 
@@ -30,6 +30,76 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+#: The dated list of the query: day, action, domain, category.
+LIST_EVENTS = [
+    ("2024-01-01", "add", "spam-farm.example.org", "spam"),
+    ("2024-01-15", "add", "cheap-pills.example.com", "pharma"),
+    ("2024-02-01", "add", "example.net", "parked"),
+    ("2024-03-01", "remove", "example.net", None),
+    ("2024-03-10", "remove", "spam-farm.example.org", None),
+    ("2024-04-01", "add", "tionsh.example.net", "mirror"),
+    ("2024-05-05", "add", "spam-farm.example.org", "malware"),
+    ("2024-06-01", "add", "ththan.example.net", "scraper"),
+    ("2024-06-01", "add", "blog.tionble.example.com", "copied"),
+    ("2024-07-01", "add", "cheap-pills.example.com", "fraud"),
+    ("2024-08-01", "remove", "blog.tionble.example.com", None),
+    ("2024-09-01", "add", "example.org", "quarantine"),
+    ("2024-09-20", "remove", "example.org", None),
+    ("2024-10-01", "remove", "tionsh.example.net", None),
+    ("2024-11-11", "remove", "never-listed.example.com", None),
+]
+
+
+def op6_url_temporal(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures are the pages, fetched on day page_id mod 366 of 2024 (the table has no time of its own)."""
+    pages = table(spark, folder, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    rows = [(a, k, b, c, d) for k, (a, b, c, d) in enumerate(LIST_EVENTS)]
+    events = spark.createDataFrame(rows, "day string, seq int, action string, domain string, category string").withColumn("day", F.col("day").cast("date"))
+    return urllists.evaluate(pages.withColumn("day", day), events)
+
+
+def _op6_sql() -> str:
+    quote = lambda x: "NULL" if x is None else f"'{x}'"
+    values = ", ".join(f"(DATE '{a}', {k}, '{b}', '{c}', {quote(d)})" for k, (a, b, c, d) in enumerate(LIST_EVENTS))
+    return rf"""
+WITH events(day, seq, action, domain, category) AS (VALUES {values}),
+i AS (
+  SELECT domain, action, category, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day, seq) AS valid_to FROM events
+), p AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day,
+         nullif(regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1)), '\.+$', ''), '') AS host
+  FROM pages
+), m AS (
+  SELECT p.page_id, i.domain, i.category, i.valid_from, row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.domain) DESC) AS r, count(*) OVER (PARTITION BY p.page_id) AS n
+  FROM p JOIN i ON i.action = 'add' AND (p.host = i.domain OR ends_with(p.host, '.' || i.domain))
+   AND i.valid_from <= p.day AND (i.valid_to IS NULL OR p.day < i.valid_to)
+)
+SELECT p.page_id, p.host, p.day, m.n IS NOT NULL AS blocked, CAST(coalesce(m.n, 0) AS BIGINT) AS n_active,
+       m.domain AS listed_domain, m.category, m.valid_from AS listed_from
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
+"""
+
+
 def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -57,6 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash": op4_simhash,
+        "op5_exact_topk": op5_exact_topk,
+        "op6_url_temporal": op6_url_temporal,
         "op7_html_text": op7_html_text,
         "op8_rule_ledger": op8_rule_ledger,
         "op9_byte_bpe": op9_byte_bpe,
@@ -65,4 +137,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL and are tested against brute force in tests/llm."""
+    return {"op5_exact_topk": OP5_SQL, "op6_url_temporal": _op6_sql()}
