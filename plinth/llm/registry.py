@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, packing, ranking, rules, simhash, substring, topk, urllists
+from . import bpe, htmltext, langid, packing, ranking, rules, simhash, substring, topk, urllists
 from .common import held_out, table
 
 
@@ -26,6 +26,12 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -126,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op5_exact_topk": op5_exact_topk,
         "op6_url_temporal": op6_url_temporal,
