@@ -49,7 +49,10 @@ class WordTokenizer:
     it also encodes apart; these are memoised too.
     """
 
-    LIMIT = 250_000
+    #: Entries kept of words, and of letter runs and tails; some 200 bytes each.
+    LIMIT, LIMIT_PARTS = 400_000, 800_000
+    #: Letter runs encoded as one text.
+    RUN = 40
     _shared: dict[str, "WordTokenizer"] = {}
 
     def __init__(self, path: str):
@@ -61,6 +64,9 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> "WordTokenizer":
@@ -72,6 +78,17 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_runs(self, cores: list[str]) -> list[bytes]:
+        """As _encode, for lower-case letter runs: each ends with the one token of its ids that ends a word."""
+        groups = [cores[k : k + self.RUN] for k in range(0, len(cores), self.RUN)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else self._encode(group)
+        return out
+
     def _learn(self, words: list[str]) -> None:
         parts, plain, other = self.parts, [], []
         for w in words:
@@ -79,8 +96,10 @@ class WordTokenizer:
                 plain.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)
-        new = list({p for _, core, tail in plain for p in (core, tail) if p not in parts})
-        parts.update(zip(new, self._encode(new)))
+        cores = list({core for _, core, _ in plain if core not in parts})
+        parts.update(zip(cores, self._encode_runs(cores)))
+        tails = list({tail for _, _, tail in plain if tail not in parts})
+        parts.update(zip(tails, self._encode(tails)))
         known = self.known
         for w, core, tail in plain:
             known[w] = parts[core] + parts[tail]
@@ -90,7 +109,7 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        if len(self.parts) > self.LIMIT:
+        if len(self.parts) > self.LIMIT_PARTS:
             self.parts = {"": b""}
         split = [None if _ODD.search(t) else t.split() for t in texts]
         known = self.known
