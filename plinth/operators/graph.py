@@ -84,22 +84,21 @@ def closure(edges: DataFrame, starts: DataFrame, source: str = "source_id", targ
     Semi-naive: each round joins only the pairs found last, and drops known ones.
     """
     step = edges.select(F.col(source).alias("from_"), F.col(target).alias("to_")).distinct()
-    found = frontier = starts.select(F.col("start")).distinct().join(step, F.col("start") == F.col("from_")).select("start", F.col("to_").alias("node")).distinct()
+    found = starts.select(F.col("start")).distinct().join(step, F.col("start") == F.col("from_")).select("start", F.col("to_").alias("node")).distinct()
+    found = frontier = cut(found)
     turn = 0
     while not frontier.isEmpty():
         turn += 1
         fresh = frontier.join(step, F.col("node") == F.col("from_")).select("start", F.col("to_").alias("node")).distinct()
         frontier = fresh.join(found, ["start", "node"], "left_anti")
-        if turn % checkpoint_every == 0:
-            frontier = _cut(frontier)
-            found = _cut(found)
-        else:
-            frontier = frontier.persist()
+        frontier = cut(frontier)
         found = found.unionByName(frontier)
+        if turn % checkpoint_every == 0:
+            found = cut(found)
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpointed in the folder that spark.checkpoint.dir names; a local one only where there is none."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
