@@ -75,6 +75,11 @@ class CityGmlSource(DataSource):
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """Elements of all files at a path, a folder or a glob, in any store that Spark reads."""
+    return elements_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def elements_of(files: DataFrame) -> DataFrame:
+    """Elements of files given as path and content."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(StructType.fromDDL(ELEMENTS))
@@ -94,7 +99,6 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, ELEMENTS)
 
 
