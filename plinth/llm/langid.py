@@ -233,11 +233,12 @@ class Reader:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, steps: int = STEPS) -> Network | None:
     """A network trained on documents that are not held out and have a language."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", F.col(lang).alias("lang")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "lang").distinct().orderBy(F.xxhash64("chosen_id"), "lang").limit(sample * LANGUAGES)
-    rows = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (docs[lang] == chosen["lang"])).select("doc_id", chosen["lang"].alias("lang"), F.col(text).alias("text"))
+    known = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
+    usable = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_lang").limit(sample * LANGUAGES)
+    rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("doc_id", "lang", "text")
     by: dict[str, list[bytes]] = {}
     for r in sorted(map(tuple, rows.toLocalIterator())):
         by.setdefault(r[1], []).extend(p for w in r[2].split() if any(map(str.isalpha, w)) for p in pieces(w))

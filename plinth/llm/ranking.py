@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     chosen = usable.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(sample)  # bounded, so it may be broadcast
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
     found = sorted((r.doc_id, r.y, tuple(r.x)) for r in extract(rows).toLocalIterator())
-    return fit(np.array([r[2] for r in found]).reshape(len(found), -1), np.array([r[1] for r in found], np.int64))
+    return fit(np.array([r[2] for r in found], np.float64).reshape(len(found), len(FEATURES)), np.array([r[1] for r in found], np.int64))
 
 
 def score(docs: DataFrame, ranker: Ranker, text: str = "text") -> DataFrame:
