@@ -60,9 +60,9 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, folder: str) -> DataFrame:
-    """id, room, flag and the box of every object."""
+    """id, room, flag and the box of every object, dealt by room: the boxes and the pairs need no other exchange."""
     low = [F.col(a) for a in boxes.AXES]
-    return spatial.extract_bbox(points(spark, folder), ["id", "room", "flag"], low, [c + 1 for c in low])
+    return spatial.extract_bbox(points(spark, folder).repartition("room"), ["id", "room", "flag"], low, [c + 1 for c in low])
 
 
 _P = f"""p AS (
