@@ -50,7 +50,7 @@ class WordTokenizer:
     """
 
     #: Entries kept of words, and of letter runs and tails; some 200 bytes each.
-    LIMIT, LIMIT_PARTS = 400_000, 800_000
+    LIMIT, LIMIT_PARTS = 250_000, 500_000
     #: Letter runs encoded as one text.
     RUN = 40
     _shared: dict[str, "WordTokenizer"] = {}
