@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: str = "doc_id", r
     nodes = cut(marked.groupBy("fp").agg(F.min(keep).alias("least")))
     joined = components(links(nodes.select("fp"), radius, groups, dense))
     rooted = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    label = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # cut, so that both sides of the join are dealt anew and a large class can be split
+    label = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(label, "root").select("fp", "component_id")
     code = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select(keep, "fp", code.alias("fingerprint"), "component_id")
