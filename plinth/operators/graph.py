@@ -102,7 +102,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpointed in the folder that spark.checkpoint.dir names; a local one only where there is none."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
             import tempfile
 
