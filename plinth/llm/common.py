@@ -171,7 +171,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
             import tempfile
 
