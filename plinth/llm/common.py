@@ -114,8 +114,8 @@ class Words:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes().split()
 
 
-def text_steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, offsets) of runs of texts of some STEP_BYTES; a null is an empty text.
+def text_steps(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets) of runs of texts of some ``size`` bytes; a null is an empty text.
 
     A longer text is a run of its own and never split.
     """
@@ -127,7 +127,7 @@ def text_steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STEP_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, last, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
         first = last
