@@ -235,8 +235,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     """A network trained on documents that are not held out and have a language."""
     known = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
     usable = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    # first in each of 64 shares of a language, then in the language: no task reads more than 64 samples
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = usable.select("doc_id", "lang").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))
+    for by in (("lang", "share"), ("lang",)):
+        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= sample)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_lang").limit(sample * LANGUAGES)
     rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("doc_id", "lang", "text")
     by: dict[str, list[bytes]] = {}
