@@ -30,8 +30,8 @@ from .common import cut
 
 SCALE = 1024
 K = 10
-#: Rows of a candidate group and of a query group.
-GROUP, QUERIES = 8192, 512
+#: Rows of a candidate group (between the two, about GROUPS of them), of a query block, and of the queries scored at a time.
+GROUP_LEAST, GROUP_MOST, GROUPS, BLOCK, QUERIES = 8192, 65_536, 64, 16_384, 512
 #: Longest vectors that give every query its first threshold, and sample for the rotation.
 LONGEST, SAMPLE = 2048, 4096
 #: Rotated components in the partial sums, and vectors processed at a time.
@@ -75,20 +75,29 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[order], scores[order]
 
 
-def search(q_ids, q, floor, c_ids, c, rotation, k=K, step=STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k best of the candidates with a score of at least its floor."""
-    turned_q, turned_c = q @ rotation, c @ rotation
-    length_q, length_c = np.linalg.norm(q.astype(float), axis=1), np.linalg.norm(c.astype(float), axis=1)
+class Candidates:
+    """A candidate group, longest first, with its rotated vectors."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, rotation: np.ndarray):
+        length = np.linalg.norm(v.astype(float), axis=1)
+        order = np.argsort(-length, kind="stable")
+        self.ids, self.v, self.length, self.rotation = ids[order], v[order], length[order], rotation
+        self.turned = self.v @ rotation
+
+
+def search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, group: Candidates, k: int = K, step: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the k best of the group with a score of at least its floor."""
+    turned_q, turned_c = q @ group.rotation, group.turned
+    length_q, length_c, c_ids, c = np.linalg.norm(q.astype(float), axis=1), group.length, group.ids, group.v
     lead = min(LEADING, q.shape[1])
     rest_q, rest_c = np.linalg.norm(turned_q[:, lead:], axis=1), np.linalg.norm(turned_c[:, lead:], axis=1)
-    order = np.argsort(-length_c, kind="stable")
     need = floor.astype(np.float64)  # a lower bound of the k-th best score
     found_ids = [np.zeros(0, np.int64)] * len(q)
     found = [np.zeros(0, np.int64)] * len(q)
     slack = 1e-9
     for at in range(0, len(c), step):
-        part = order[at : at + step]
-        reach = length_q * length_c[part[0]]
+        part = np.arange(at, min(at + step, len(c)))
+        reach = length_q * length_c[at]
         live = np.flatnonzero(reach * (1 + slack) + 1 >= need)
         if not len(live):
             break
@@ -115,7 +124,7 @@ def _table(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table({"query_id": ids, "vec_id": join(1), "score": join(2)})
 
 
-def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, k: int = K, group: int = GROUP, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, k: int = K, group: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` where is_query holds (a condition on vec_id)."""
     rows = cut(quantised(vectors, key, vector, scale))
     asked = rows.where(is_query)
@@ -134,15 +143,17 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
             ids = b.column("vec_id").to_numpy()
             floor = np.full(len(ids), low, np.int64)
             q = matrix(b.column("v"), dim)
-            for at in range(0, len(ids), queries):
-                scores = exact_products(q[at : at + queries], head_v)
+            for at in range(0, len(ids), QUERIES):
+                scores = exact_products(q[at : at + QUERIES], head_v)
                 for i, row in enumerate(scores):
                     row = row[head_ids != ids[at + i]]
                     if len(row) >= k:
                         floor[at + i] = np.partition(row, len(row) - k)[len(row) - k]
             yield pa.record_batch({"vec_id": b.column("vec_id"), "v": b.column("v"), "floor": pa.array(floor)})
 
-    n_groups, n_blocks = max(1, -(-n // group)), max(1, -(-n_asked // queries))
+    # every query meets every group: the shuffle is candidates times blocks plus queries times groups
+    group = group or min(GROUP_MOST, max(GROUP_LEAST, n // GROUPS))
+    n_groups, n_blocks = max(1, -(-n // group)), max(1, -(-n_asked // block))
     share = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
     first = asked.select("vec_id", "v").mapInArrow(thresholds, "vec_id long, v array<long>, floor long")
@@ -152,8 +163,10 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _table([])
-        q, c = matrix(a.column("v"), dim), matrix(b.column("v"), dim)
-        return _table(list(search(a.column("vec_id").to_numpy(), q, a.column("floor").to_numpy(), b.column("vec_id").to_numpy(), c, rotation, k)))
+        q, q_ids, floor = matrix(a.column("v"), dim), a.column("vec_id").to_numpy(), a.column("floor").to_numpy()
+        candidates = Candidates(b.column("vec_id").to_numpy(), matrix(b.column("v"), dim), rotation)
+        parts = (slice(at, at + QUERIES) for at in range(0, len(q), QUERIES))
+        return _table([row for p in parts for row in search(q_ids[p], q[p], floor[p], candidates, k)])
 
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

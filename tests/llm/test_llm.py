@@ -327,7 +327,7 @@ def test_top_k_like_brute_force(spark):
     v[50:60] = v[49]
     df = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
     ints = {i: [int(np.floor(1024 * float(np.float32(a)))) for a in row] for i, row in enumerate(v)}
-    got = topk.top_k(df, F.col("vec_id") % 100 == 0, group=64, queries=2).collect()
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, group=64, block=2).collect()
     assert {tuple(r) for r in got} == brute_top(ints, [0, 100, 200, 300])
 
 
