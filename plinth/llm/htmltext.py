@@ -13,6 +13,8 @@ reader comments are left out wherever they stand, by tag, role and class.
 Null and empty pages, and pages without text, give an empty text.  A page without
 a host has a vote of its own.  Rows are extracted one by one: repeated rows give
 repeated results.  Markup may be cut off anywhere.
+A '<' that opens no tag is text.  A head ends where its content does; other elements left
+out that lack their end tag end with their parent.
 """
 
 from __future__ import annotations
@@ -31,7 +33,13 @@ from .hosts import host_of
 #: Winning paths up to this many rows are broadcast (some 100 bytes each); more are joined by host.
 BROADCAST_ROWS = 50_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>|<[a-zA-Z/!?](?![^<]*>).*\Z", re.S)
+#: Attributes: a quote counts only after '='.  Possessive, so that a failed match is not tried again in other ways.
+_ATTRS = r"""(?>[^<>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+"""
+#: Comments, start tags, end tags, declarations, and markup cut off by the end of the page.  Any other '<' is text.
+_TAG = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/<>]*)({_ATTRS})>|</([a-zA-Z][^\s/<>]*)(?:[^<>]*>|\s*(?=<))|<[!?][^>]*>|<[a-zA-Z/!?](?:[^<>"']|"[^"]*"|'[^']*')*+(?:"[^">]*|'[^'>]*)?\Z""",
+    re.S,
+)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
@@ -40,7 +48,11 @@ CONTAINERS = frozenset("html body main article section div td center".split())
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr th blockquote pre figure figcaption hr address details summary header footer nav aside form fieldset".split()
 )
-RAW = frozenset("script style title textarea noscript iframe template svg math object head select".split())
+#: Elements that hold text only, and elements whose markup is passed over whole.
+TEXT_ONLY = frozenset("script style title textarea iframe".split())
+RAW = TEXT_ONLY | frozenset("noscript template svg math object head select".split())
+#: What a head may hold; anything else ends it, with or without its end tag.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("br img hr meta link input area base col embed source track wbr".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu button dialog".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -65,6 +77,28 @@ def _noisy(tag: str, raw: str) -> tuple[bool, str]:
     return noisy, ".".join(sorted({re.sub(r"\d+", "0", c) for c in classes.split()}))
 
 
+class _Ends:
+    """Where the elements of RAW end: after their end tag, or None without one."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.known: dict[str, dict[int, int]] = {}
+
+    def after(self, tag: str, at: int) -> int | None:
+        """For the element whose start tag ends at a place."""
+        if tag not in self.known:
+            self.known[tag], opened = {}, []
+            for m in re.finditer(rf"<(/?){re.escape(tag)}(?![^\s/>])({_ATTRS})>", self.html, re.I):
+                if m[1]:
+                    # text has no elements inside: an end tag ends all that wait for one
+                    for k in opened if tag in TEXT_ONLY else opened[-1:]:
+                        self.known[tag][k] = m.end()
+                    opened = [] if tag in TEXT_ONLY else opened[:-1]
+                elif not m[2].endswith("/"):
+                    opened.append(m.end())
+        return self.known[tag].get(at)
+
+
 class Page:
     """Blocks of text, each with the containers around it, innermost last."""
 
@@ -96,10 +130,19 @@ class Page:
                 container = before
                 noise -= out
 
-        end = len(html)
+        def end_head() -> None:
+            """The head is over, with what is open in it."""
+            for k in range(len(stack)):
+                if stack[k][0] == "head":
+                    pop(k)
+                    break
+
+        ends, end = _Ends(html), len(html)
         while at < end:
             m = _TAG.search(html, at)
             stop = m.start() if m else end
+            if stop > at and noise and stack[-1][0] == "head" and not html[at:stop].isspace():
+                end_head()
             if stop > at and not noise:
                 text.append(html[at:stop])
                 if links:
@@ -110,6 +153,8 @@ class Page:
             if m[1]:
                 tag, raw = m[1].lower(), m[2]
                 block = tag in BLOCKS
+                if noise and tag not in HEAD and (tag == "body" or stack[-1][0] in RAW):
+                    end_head()
                 if block:
                     flush()
                     for k in range(len(stack) - 1, -1, -1):
@@ -123,10 +168,13 @@ class Page:
                 out, classes = _noisy(tag, raw)
                 if tag in VOID or raw.endswith("/"):
                     continue
-                if tag in RAW:
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                    at = close.end() if close else end
-                    continue
+                if tag in RAW and tag != "head":
+                    if (after := ends.after(tag, at)) is not None:
+                        at = after
+                        continue
+                    if tag == "title":
+                        at = k if (k := html.find("<", at)) >= 0 else end
+                        continue
                 if tag == "a":
                     links += 1
                 if block or out:
@@ -150,7 +198,7 @@ class Page:
                         flush()
                         pop(k)
                         break
-                    if tag not in BLOCKS and stack[k][0] in CONTAINERS:
+                    if tag not in BLOCKS and tag != "head" and stack[k][0] in CONTAINERS:
                         break
         flush()
 

@@ -379,6 +379,30 @@ def test_text_of_one_page():
         assert htmltext.Page(html).text(None) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>if a <b and c</p><p>rest of the article</p>", "if a <b and c\n\nrest of the article"),
+        ("<p>a <b don't</p><p>rest isn't lost</p>", "a <b don't\n\nrest isn't lost"),
+        ("<p>x</p <p>y</p>", "x\n\ny"),
+        ('<p>x<a href="u<v', "x"),
+        ("<!--><p>x", "x"),
+        ("<html><head><title>t</title><link x><article><p>body</p></article></html>", "body"),
+        ("<head><title>T<body><p>x</p>", "x"),
+        ("<head><script>f()<body><p>x</p>", "x"),
+        ("<head><noscript><article>x</article>", "x"),
+        ("<head> <link a>Hello <p>x", "Hello\n\nx"),
+        ("<div><select><option>a</div><p>rest</p>", "rest"),
+        ("<div><svg><path></div><p>rest", "rest"),
+        ("<div><object><object>in</object>alt</object></div><p>rest", "rest"),
+        ("<div><object><p>alt</div><p>rest", "rest"),
+        ("<p>a <svg><path/></svg> b</p>", "a b"),
+    ],
+)
+def test_malformed_spots_do_not_end_the_page(html, want):
+    assert htmltext.Page(html).text(None) == want
+
+
 def test_pages_and_votes(spark):
     from html import unescape
     import re
