@@ -8,7 +8,9 @@ Every page is then extracted from the containers at its host's winning path, or
 at its own best path where it has none or too little there.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out wherever they stand, by tag, role and class.
+reader comments are left out wherever they stand, by tag, role and class.  What looks
+like one of these but is wrapped around the main text is kept, decided after the scan
+(``Page._settle``).
 
 Null and empty pages, and pages without text, give an empty text.  A page without
 a host has a vote of its own.  Rows are extracted one by one: repeated rows give
@@ -59,22 +61,54 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Noise words that also occur in the classes of layouts; the other words name what they stand on.
+LAYOUT_WORDS = frozenset("banner breadcrumb breadcrumbs footer form header login masthead menu modal nav navbar navigation pagination promo share sharing sidebar signup social toolbar widget".split())
+#: Words of classes that say what else a page has, and of classes that hold the content.
+FLAG_WORDS = frozenset("has with without no not is open closed".split())
+CONTENT_WORDS = frozenset("article body col column container content entry layout main page post site story text wrap wrapper".split())
 KEEP_TAGS = frozenset("html body main article".split())
+#: How sure an element is left out: by part of a class or as a form, by the name of a layout part, by another name, by tag or role, always.
+WEAK, LAYOUT, NAMED, TAG, DROP = range(1, 6)
+#: Plain characters of a block of running text.
+RUNNING = 100
 CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "td": "td", "th": "th", "tr": "tr"}
 
 
-def _noisy(tag: str, raw: str) -> tuple[bool, str]:
-    """Whether an element is left out, and its generalised classes."""
+def _class_noise(names: list[str]) -> int:
+    """WEAK, LAYOUT, NAMED or 0 for classes and ids."""
+    found, content = set(), False
+    for name in names:
+        words = [w.lower() for w in _PART.findall(name)]
+        if FLAG_WORDS.intersection(words):
+            continue
+        holds = not CONTENT_WORDS.isdisjoint(words)
+        hit = NOISE_WORDS.intersection(words)
+        if hit - LAYOUT_WORDS:
+            return NAMED
+        if hit:
+            found.add(LAYOUT if words[0] in hit and not holds else WEAK)
+        else:
+            content = content or holds
+    return 0 if not found else WEAK if content else max(found)
+
+
+def _noisy(tag: str, raw: str) -> tuple[int, str]:
+    """How an element is left out, 0 if it is not, and its generalised classes."""
+    by_tag = 0 if tag not in NOISE_TAGS else DROP if tag in RAW else WEAK if tag == "form" else TAG
     if not raw or "=" not in raw and "hidden" not in raw:
-        return tag in NOISE_TAGS, ""
+        return by_tag, ""
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
-    classes = attrs.get("class", "")
-    noisy = tag in NOISE_TAGS or attrs.get("role", "").lower() in NOISE_ROLES or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTR.sub(" ", raw)) is not None
-    if not noisy and (tag not in KEEP_TAGS or tag == "article"):
+    names, role = attrs.get("class", "").split(), attrs.get("role", "").lower()
+    if attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTR.sub(" ", raw)) is not None:
+        by_tag = DROP
+    elif role in NOISE_ROLES:
+        by_tag = max(by_tag, WEAK if role == "form" else TAG)
+    if tag == "article":
         # a comment may be an article; any other noise word there is a theme's flag
-        words = {w.lower() for w in _PART.findall(f"{classes} {attrs.get('id', '')}")}
-        noisy = bool(words & NOISE_WORDS) if tag != "article" else bool(words & {"comment", "reply"})
-    return noisy, ".".join(sorted({re.sub(r"\d+", "0", c) for c in classes.split()}))
+        by_name = NAMED if {w.lower() for w in _PART.findall(f"{' '.join(names)} {attrs.get('id', '')}")} & {"comment", "reply"} else 0
+    else:
+        by_name = _class_noise(names + attrs.get("id", "").split()) if tag not in KEEP_TAGS else 0
+    return max(by_tag, by_name), ".".join(sorted({re.sub(r"\d+", "0", c) for c in names}))
 
 
 class _Ends:
@@ -107,11 +141,19 @@ class Page:
         self.tags: list[str] = [""]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, link characters
+        # elements that may be left out, outer ones first; 0 is the page
+        self.kinds: list[int] = [0]
+        self.around: list[int] = [0]
+        self.holds_main: list[bool] = [False]
+        self.holds_article: list[bool] = [False]
+        self.owners: list[int] = []  # of each block, the innermost of these
         self._scan(html)
+        if len(self.kinds) > 1:
+            self._settle()
 
     def _scan(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, left out
-        container, noise, links, at = 0, 0, 0, 0
+        stack: list[tuple[str, int, int, bool]] = []  # tag, container and owner before, without text
+        container, owner, noise, links, at = 0, 0, 0, 0, 0
         text: list[str] = []
         linked = 0
 
@@ -121,13 +163,13 @@ class Page:
                 whole = _SPACE.sub(" ", unescape("".join(text))).strip()
                 if whole:
                     self.blocks.append((container, whole, min(linked, len(whole))))
+                    self.owners.append(owner)
             text, linked = [], 0
 
         def pop(depth: int) -> None:
-            nonlocal container, noise
+            nonlocal container, owner, noise
             while len(stack) > depth:
-                _, before, out = stack.pop()
-                container = before
+                _, container, owner, out = stack.pop()
                 noise -= out
 
         def end_head() -> None:
@@ -180,8 +222,16 @@ class Page:
                 if block or out:
                     if out:
                         flush()
-                    stack.append((tag, container, out))
-                    noise += out
+                    stack.append((tag, container, owner, out == DROP))
+                    noise += out == DROP
+                    if out:
+                        self.kinds.append(out)
+                        self.around.append(owner)
+                        self.holds_main.append(False)
+                        self.holds_article.append(False)
+                        owner = len(self.kinds) - 1
+                    elif not noise and tag in ("main", "article"):
+                        self._mark(self.holds_main if tag == "main" else self.holds_article, owner)
                     if tag in CONTAINERS:
                         self.paths.append(f"{self.paths[container]}/{tag}{'.' + classes if classes else ''}")
                         self.tags.append(tag)
@@ -202,6 +252,73 @@ class Page:
                         break
         flush()
 
+    def _mark(self, holds: list[bool], owner: int) -> None:
+        """Note a main or article element; an article counts for parts of classes around it and the next element around these."""
+        while not holds[owner]:
+            holds[owner] = True
+            if holds is self.holds_article and self.kinds[owner] > WEAK or not self.around[owner]:
+                break
+            owner = self.around[owner]
+
+    def _settle(self) -> None:
+        """Leave out blocks, except in elements that the main text is wrapped in.
+
+        Kept are elements around a main element; those around an article with much of the text;
+        those noisy by part of a class, and forms, with most of the text; and, on a page without
+        other text, a layout part with running text.  Text inside another element left out
+        does not count for the one around it.
+        """
+        n = len(self.kinds)
+        own, running = [0] * n, [False] * n
+        for (_, text, linked), e in zip(self.blocks, self.owners):
+            own[e] += len(text) - linked
+            running[e] = running[e] or len(text) - linked >= RUNNING
+        keep = [k == 0 or k < DROP and main for k, main in zip(self.kinds, self.holds_main)]
+        sizes = own.copy()
+        for e in range(n - 1, 0, -1):
+            if self.kinds[e] == WEAK or keep[e]:
+                sizes[self.around[e]] += sizes[e]
+                running[self.around[e]] = running[self.around[e]] or running[e]
+        seen = keep.copy()
+
+        def show() -> int:
+            """Plain text in the elements kept."""
+            for e in range(1, n):
+                seen[e] = keep[e] and seen[self.around[e]]
+            return sum(size for size, s in zip(own, seen) if s)
+
+        shown = show()
+        order = sorted((e for e in range(1, n) if not keep[e] and self.kinds[e] < DROP and sizes[e]), key=lambda e: (-sizes[e], e))
+        for kinds in ((WEAK,), (LAYOUT,), (NAMED, TAG)):
+            for e in order:
+                if self.kinds[e] in kinds and self.holds_article[e] and seen[self.around[e]]:
+                    outside = self.holds_article[0]
+                    # so many times the text kept otherwise
+                    least = (1 if outside else 0.5) if self.kinds[e] == WEAK else 1 if self.kinds[e] == LAYOUT else 4
+                    if sizes[e] > least * shown and (self.kinds[e] < NAMED or not outside):
+                        keep[e] = True
+                        shown = show()
+        weak = [e for e in order if self.kinds[e] == WEAK and not keep[e]]
+        total = shown + sum(sizes[e] for e in weak if seen[self.around[e]])
+        for e in weak:
+            if 2 * sizes[e] > total and seen[self.around[e]]:
+                keep[e] = True
+                shown = show()
+        if not shown:
+            for e in order:
+                if self.kinds[e] == LAYOUT and running[e] and seen[self.around[e]]:
+                    keep[e] = True
+                    # parts of classes inside it that hold most of its text
+                    for k in range(e + 1, n):
+                        keep[k] = keep[k] or self.kinds[k] == WEAK and keep[self.around[k]] and self.around[k] >= e and 2 * sizes[k] > sizes[e]
+                    show()
+                    break
+        # of a header and the like, kept for a main or article element in it, only that element
+        held = [tag in ("main", "article") for tag in self.tags]
+        for k in range(1, len(held)):
+            held[k] = held[k] or held[self.parents[k]]
+        self.blocks = [b for b, e in zip(self.blocks, self.owners) if seen[e] and (self.kinds[e] != TAG or held[b[0]])]
+
     def totals(self) -> tuple[list[float], list[int]]:
         """Score and plain text length of each container."""
         score, size = [0.0] * len(self.paths), [0] * len(self.paths)

@@ -403,6 +403,33 @@ def test_malformed_spots_do_not_end_the_page(html, want):
     assert htmltext.Page(html).text(None) == want
 
 
+LONG = "running text of the page " * 8
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="page has-sidebar"><article><p>x</p></article></div>', "x"),
+        ('<section class="content-with-sidebar"><div><p>x</p></div><div class="sidebar">side</div></section>', "x"),
+        ('<div class="site-navigation-left"><main><p>x</p></main><div class=nav>n</div></div>', "x"),
+        ('<div class="widget-area main"><p>the article</p></div><div class="sidebar">side</div>', "the article"),
+        ('<div class="sidebar wide"><main>x</main></div>', "x"),
+        (f'<div class="sidebar"><p>{LONG}</p></div><div class="cookie">We use cookies</div>', LONG.strip()),
+        (f"<body><form action=x><header>h</header><div><p>{LONG}</p></div><nav>n</nav></form></body>", LONG.strip()),
+        ('<form><div class="ad-box">BUY</div><article>x</article></form>', "x"),
+        ("<header><div>menu</div><main>x</main>", "x"),
+        # left out as before
+        (f'<div class="text"><p>short article</p></div><div class="comments-section"><div class="comment-item">{LONG}</div></div>', "short article"),
+        (f'<div class="text"><p>{LONG}</p></div><div class="related-posts"><article>card</article></div><aside><article>teaser</article></aside>', LONG.strip()),
+        ('<article>x</article><form>Name and mail</form><div class="widget-area">w</div>', "x"),
+        ('<div class="cookie">We use cookies</div>', ""),
+        (f"<div hidden><main>{LONG}</main></div><p>x</p>", "x"),
+    ],
+)
+def test_noise_around_the_main_text(html, want):
+    assert htmltext.Page(html).text(None) == want
+
+
 def test_pages_and_votes(spark):
     from html import unescape
     import re
