@@ -5,7 +5,8 @@ each with a generalised path of tags and classes.  A container scores by the tex
 of its blocks, less with distance, less for link text.  Pages vote, weighted by
 relative score, for the paths of their host; the votes are added up in Spark.
 Every page is then extracted from the containers at its host's winning path, or
-at its own best path where it has none or too little there.
+at its own best path where it has none or too little there, or where its own best
+container encloses the voted one, has more text and is not noisier.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out wherever they stand, by tag, role and class.  What looks
@@ -71,6 +72,8 @@ KEEP_TAGS = frozenset("html body main article".split())
 WEAK, LAYOUT, NAMED, TAG, DROP = range(1, 6)
 #: Plain characters of a block of running text.
 RUNNING = 100
+#: A container around the voted one is noisier if its share of link text is higher by more than this.
+LINK_SHARE = 0.1
 CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "td": "td", "th": "th", "tr": "tr"}
 
 
@@ -352,6 +355,19 @@ class Page:
                 found[path] = max(found.get(path, 0.0), min(1.0, s / top) * 0.9)
         return list(found.items())
 
+    def _holds_more(self, best: int, chosen: set[int]) -> bool:
+        """Whether a container encloses all the chosen ones and has more text, with no more links in it."""
+        if not chosen or best in chosen:
+            return False
+        inside, within = [k in chosen for k in range(len(self.paths))], [k == best for k in range(len(self.paths))]
+        for k in range(1, len(inside)):
+            inside[k] = inside[k] or inside[self.parents[k]]
+            within[k] = within[k] or within[self.parents[k]]
+        if not all(within[k] for k in chosen):
+            return False
+        some, whole = ([sum(n) for n in zip(*((len(text), linked) for c, text, linked in self.blocks if part[c]))] or [0, 0] for part in (inside, within))
+        return whole[0] > some[0] and whole[1] * max(some[0], 1) <= (some[1] + LINK_SHARE * some[0]) * whole[0]
+
     def text(self, path: str | None) -> str:
         """The blocks inside the containers at a path, or at the page's own best."""
         if not self.blocks:
@@ -359,7 +375,7 @@ class Page:
         score, size = self.totals()
         best = self.best(score, size)
         chosen = {k for k, p in enumerate(self.paths) if p == path} if path is not None else set()
-        if 2 * sum(size[k] for k in chosen) < size[best]:
+        if 2 * sum(size[k] for k in chosen) < size[best] or self._holds_more(best, chosen):
             chosen = {k for k, p in enumerate(self.paths) if p == self.paths[best]}
         inside = [k in chosen for k in range(len(self.paths))]
         for k in range(1, len(inside)):

@@ -430,6 +430,13 @@ def test_noise_around_the_main_text(html, want):
     assert htmltext.Page(html).text(None) == want
 
 
+def test_text_beside_the_voted_container():
+    path, part = "/html/body/div.main/div.content", "<html><body><div class=main><div class=content><p>" + "a" * 600 + "</p></div><div class=more><p>"
+    assert htmltext.Page(part + "b" * 400 + "</p></div></div>").text(path) == "a" * 600 + "\n\n" + "b" * 400
+    # noisier: links make up a fifth of the enclosing container
+    assert htmltext.Page(part + "b" * 150 + "<a href=x>" + "c" * 200 + "</a></p></div></div>").text(path) == "a" * 600
+
+
 def test_pages_and_votes(spark):
     from html import unescape
     import re
