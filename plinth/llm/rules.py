@@ -27,6 +27,12 @@ _SYMBOL[list(SYMBOLS.encode())] = True
 _UPPER, _LOWER = (np.isin(np.arange(256), list(range(a, a + 26))) for a in (65, 97))
 _NOT_TAIL = (np.arange(256) & 0xC0) != 0x80
 
+#: First two bytes of the characters of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = np.zeros(1 << 16, bool)
+for _first, _last in ((0xE0B8, 0xE0BF), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE383), (0xE387, 0xE387), (0xE390, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBD, 0xEFBE), (0xF0A0, 0xF0B3)):
+    for _lead in range(_first >> 8, (_last >> 8) + 1):
+        _UNSPACED[max(_first, _lead << 8 | 0x80) : min(_last, _lead << 8 | 0xBF) + 1] = True
+
 #: Bit of each rule, with its test on the measurements (all integer arithmetic).
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 10"),
@@ -34,8 +40,10 @@ RULES: list[tuple[str, str]] = [
     ("symbols", "10 * n_symbols > word_chars"),
     ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
-    ("shouting", "n_upper > n_lower"),
+    # not where most characters are of scripts that do not part words
+    ("long_words", "word_chars * is_spaced > 20 * n_words"),
+    # only where the letters with a known case are most of the letters
+    ("shouting", "n_upper * is_cased > n_lower"),
     ("unlettered", "2 * n_letters < word_chars"),
 ]
 BITS = {name: 1 << k for k, (name, _) in enumerate(RULES)}
@@ -44,7 +52,7 @@ BASE = BITS["few_words"] | BITS["repeated_windows"]
 POLICIES = {"v1": BASE, "v2": BASE | BITS["symbols"] | BITS["shouting"] | BITS["unlettered"], "v3": (1 << len(RULES)) - 1}
 CURRENT = "v3"
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_letters long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_letters long, is_cased long, is_spaced long"
 
 
 def repeated_words(words: Words, k: int = 5) -> np.ndarray:
@@ -77,21 +85,35 @@ def duplicate_lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return lines, lines - np.bincount(doc[index], minlength=words.n_docs)
 
 
+def unspaced(words: Words) -> np.ndarray:
+    """Per document, characters of scripts that do not part words."""
+    data = words.data
+    hit = np.zeros(len(data), bool)
+    leads = np.flatnonzero(data[:-1] >= 0xE0)
+    hit[leads] = _UNSPACED[data[leads].astype(np.uint16) << 8 | data[leads + 1]]
+    return words.per_doc(hit)
+
+
 def measure(words: Words) -> dict[str, np.ndarray]:
     data = words.data
     lines, duplicates = duplicate_lines(words)
     upper, lower = words.per_doc(_UPPER[data]), words.per_doc(_LOWER[data])
+    chars = words.per_doc(words.inside & _NOT_TAIL[data])
+    # lead bytes of multi-byte characters count as letters
+    letters = upper + lower + words.per_doc(data >= 0xC0)
     return {
         "n_words": words.counts,
-        "word_chars": words.per_doc(words.inside & _NOT_TAIL[data]),
+        "word_chars": chars,
         "n_symbols": words.per_doc(_SYMBOL[data]),
         "n_dup_lines": duplicates,
         "n_repeat_words": repeated_words(words),
         "n_lines": lines,
         "n_upper": upper,
         "n_lower": lower,
-        # lead bytes of multi-byte characters count as letters
-        "n_letters": upper + lower + words.per_doc(data >= 0xC0),
+        "n_letters": letters,
+        # 1 or 0, so that the tests stay arithmetic
+        "is_cased": (2 * (upper + lower) > letters).astype(np.int64),
+        "is_spaced": (2 * unspaced(words) <= chars).astype(np.int64),
     }
 
 

@@ -28,6 +28,17 @@ def texts(spark):
 
 # ------------------------------------------------------------------ rules
 
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    russian = "Организация опубликовала новый доклад о состоянии рек и озёр, NATO в нём не названа ни разу"
+    chinese = " ".join("春江潮水连海平海上明月共潮生滟滟随波千万里何处春江无月明" + mark for mark in "一二三四五六七八九十甲乙")
+    thai = " ".join("ประเทศไทยมีแม่น้ำหลายสายไหลผ่านเมืองและหมู่บ้าน" + mark for mark in "กขคงจฉชซญดตถ")
+    texts = [russian, chinese, thai, "THIS IS ALL IN CAPITALS AND IT IS MUCH TOO LOUD", " ".join(chr(97 + k) * 30 for k in range(12)), "ÄRGER UND LÄRM IN DER STADT, SO LAUT WIE NIE ZUVOR"]
+    want = [0, 0, 0, rules.BITS["shouting"], rules.BITS["long_words"], rules.BITS["shouting"]]
+    docs = H.plain_documents(spark, texts)
+    assert [r.failed_bits for r in rules.ledger(docs).orderBy("doc_id").collect()] == want
+    assert sorted(r.doc_id for r in rules.filter_documents(docs).collect()) == [0, 1, 2]
+
+
 def test_measurements_like_brute_force(spark, texts):
     odd = ["", " ", "a", "x\nx\nx", "\n\n", "a b c d e a b c d e", "a a a a a a", "x \n x\nx ", "é# <é>\x0b|", "l1\nl2\nl1\nl2 \nl2"]
     rows = registry.op8_rule_ledger(spark, FOLDER).collect()
