@@ -1,13 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference is every earlier text.  It is indexed in blocks by anchors: the
-least of 11 successive hashed 10-word phrases, so that equal 20-word windows pick
-equal anchors at equal places.  A document's tiling into runs of windows with one
-anchor is its parse against the index; a tile whose whole span occurs earlier is a
-factor, and successive factors join into longer ones.  Where a tile shares its
-anchor but not its span with others, a factor ends inside it: there, at factor
-boundaries, windows are compared one by one.  Factors of at least WINDOW words
-are duplicate spans, and their words go.
+"""Substring dedup by winnowed tile hashing.
+
+This stands in for a greedy relative Lempel-Ziv parse: there is no reference block
+and no match is extended.  The reference is every earlier text.  A text is cut into
+tiles, runs of 20-word windows with one anchor: the least of 11 successive hashed
+10-word phrases, so that equal windows pick equal anchors at equal places.  A tile
+depends on its own text alone.  A tile whose whole span occurs earlier is duplicate,
+and successive ones join.  Where a tile shares its anchor but not its span with
+others, its windows are compared one by one.  Spans of at least WINDOW words that
+occur earlier are duplicate, and their words go.
 
 Two independent 64-bit hashes identify a span.  Occurrences of a span inside one
 batch of rows are merged before anything is shuffled, so a passage that a third of
