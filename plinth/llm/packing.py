@@ -3,9 +3,11 @@
 Documents become token pieces of at most ``capacity`` ids.  Pieces are dealt to
 groups of bounded size by a hash; each group packs its pieces by best-fit
 decreasing and certifies its bin count with lower bounds from dual feasible
-functions.  Groups that the bound does not certify give up the bins that carry
-their waste; the pieces of those bins are dealt to fewer groups and packed again,
-until the total meets the bound over all pieces or nothing can be gained.
+functions.  A certified group keeps its bins but the emptiest; a group above its
+bound gives up every bin with a gap.  The pieces of those bins are dealt to fewer
+groups and packed again, until the count meets the bound over them, one group has
+seen them all, or ``ROUNDS`` are over.  Every row says how many bins its group
+used and what the bound was.
 
 Null texts are empty texts (one end id).  Equal texts are packed each for itself;
 rows are never merged, so a repeated row is placed twice.  An empty table gives
@@ -30,27 +32,49 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs.
 GROUP_PIECES = 100_000
-#: Share of its bins that a group gives up at most in a round; a handful always.
-GIVE_UP, GIVE_UP_LEAST = 0.02, 64
 ROUNDS = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long, settled boolean"
-
-_ODD = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%&*#$]*)")
+PLACED = PIECES + ", sequence_id long, offset long, group_bins long, group_bound long, settled boolean"
+
+#: Letters that lower-casing and composing change as Python does; a text of these and ASCII alone is cut by one pattern.
+_LETTERS = "a-zß-öø-ÿ"
+_OTHER = "[^\x00-\x7fÀ-ÖØ-öø-ÿ]"
+#: The tokenizer's own cuts, for such texts in lower case.
+_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+", re.A)
+#: Controls that Python takes for white space and the tokenizer does not.
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+class Memo:
+    """Two generations of a bounded memory: what is not asked for again leaves with the older one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys not known; those of the older generation become young."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        out, old = [], self.old
+        for k in keys.difference(self.young):
+            if (value := old.get(k)) is None:
+                out.append(k)
+            else:
+                self.young[k] = value
+        return out
 
 
 class WordTokenizer:
-    """Ids of texts, memoised by white-space word.
+    """Ids of texts, memoised by pre-token.
 
-    The tokenizer drops white space before it merges, so a text's ids are those
-    of its words in turn.  Most new words are letters and a tail of marks, which
-    it also encodes apart; these are memoised too.
+    The tokenizer drops white space and cuts a text into letter runs, digits and
+    marks before it merges, so a text's ids are those of its cuts in turn.  Texts
+    with other characters or an added token are cut at white space and memoised by word.
     """
 
-    #: Entries kept of words, and of letter runs and tails; some 200 bytes each.
-    LIMIT, LIMIT_PARTS = 250_000, 500_000
+    #: Entries of a generation, of cuts and of words; some 200 bytes each.
+    CUTS, WORDS = 500_000, 150_000
     #: Letter runs encoded as one text.
     RUN = 40
     _shared: dict[str, "WordTokenizer"] = {}
@@ -62,8 +86,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.cuts, self.words = Memo(self.CUTS), Memo(self.WORDS)
+        # tokens that the tokenizer finds in a text before it cuts: none has white space in it
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join([_OTHER, *map(re.escape, added)]))
         vocabulary = self.model.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -89,32 +115,38 @@ class WordTokenizer:
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else self._encode(group)
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        parts, plain, other = self.parts, [], []
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        cores = list({core for _, core, _ in plain if core not in parts})
-        parts.update(zip(cores, self._encode_runs(cores)))
-        tails = list({tail for _, _, tail in plain if tail not in parts})
-        parts.update(zip(tails, self._encode(tails)))
-        known = self.known
-        for w, core, tail in plain:
-            known[w] = parts[core] + parts[tail]
-        known.update(zip(other, self._encode(other)))
+    def _learn(self, cuts: set[str]) -> None:
+        new = self.cuts.missing(cuts)
+        runs = [w for w in new if w.isalpha()]
+        self.cuts.young.update(zip(runs, self._encode_runs(runs)))
+        rest = [w for w in new if not w.isalpha()]
+        self.cuts.young.update(zip(rest, self._encode(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        if len(self.parts) > self.LIMIT_PARTS:
-            self.parts = {"": b""}
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        known = self.known
-        self._learn([w for w in set().union(*filter(None, split)) if w not in known])
-        get = known.__getitem__
+        other = [self.other.search(t) is not None for t in texts]
+        cut = [None if o else _TOKEN.findall(t.lower()) for t, o in zip(texts, other)]
+        self._learn(set().union(*filter(None, cut)))
+        get = self.cuts.young.__getitem__
+        out = [b"" if o else b"".join(map(get, c)) for o, c in zip(other, cut)]
+        if any(other):
+            at = [k for k, o in enumerate(other) if o]
+            for k, ids in zip(at, self._encode_words([texts[k] for k in at])):
+                out[k] = ids
+        return out
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        """The same, for texts of any characters."""
+        split = [None if _CONTROL.search(t) else t.split() for t in texts]
+        new = self.words.missing(set().union(*filter(None, split)))
+        plain = [w for w in new if not self.other.search(w)]
+        cut = [_TOKEN.findall(w.lower()) for w in plain]
+        self._learn(set().union(*cut))
+        get = self.cuts.young.__getitem__
+        self.words.young.update((w, b"".join(map(get, c))) for w, c in zip(plain, cut))
+        rest = [w for w in new if self.other.search(w)]
+        self.words.young.update(zip(rest, self._encode(rest)))
+        get = self.words.young.__getitem__
         return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
 
@@ -186,19 +218,29 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(free, np.int64)
 
 
+def given_up(free: np.ndarray, bound: int) -> np.ndarray:
+    """Which bins of a group go on to be packed with those of other groups.
+
+    None but the emptiest of a group that the bound certifies (a rest that another
+    group may fill); every bin with a gap of a group above its bound.
+    """
+    out = np.zeros(len(free), bool)
+    if len(free) > bound:
+        out[free > 0] = True
+    elif len(free) and free.max() > 0:
+        out[free.argmax()] = True
+    return out
+
+
 def _pack_group(rows: pa.Table, capacity: int, base: int) -> pa.Table:
     rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
     lengths = rows.column("length").to_numpy()
     bins, offsets, free = best_fit(lengths, capacity)
-    sizes, counts = np.unique(lengths, return_counts=True)
-    settled = np.ones(len(free), bool)
-    if len(free) > lower_bound(sizes, counts, capacity) or free.sum() > 0:
-        # beyond the bound, or a last bin that another group could fill: the emptiest bins go on
-        waste = np.argsort(-free, kind="stable")[: max(GIVE_UP_LEAST, int(GIVE_UP * len(free)))]
-        settled[waste[free[waste] > 0]] = False
+    bound = lower_bound(*np.unique(lengths, return_counts=True), capacity)
     sequence = base + (rows.column("group")[0].as_py() << 32) + bins
     rows = rows.drop_columns(["group"])
-    for name, values in (("sequence_id", sequence), ("offset", offsets), ("settled", settled[bins])):
+    same = lambda n: np.full(len(bins), n, np.int64)
+    for name, values in (("sequence_id", sequence), ("offset", offsets), ("group_bins", same(len(free))), ("group_bound", same(bound)), ("settled", ~given_up(free, bound)[bins])):
         rows = rows.append_column(name, pa.array(values))
     return rows
 
@@ -208,8 +250,11 @@ def _packer(capacity: int, base: int):
 
 
 def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """PIECES rows with sequence_id and offset.  rows is read several times: cut it first."""
-    done, total, todo = [], 0, rows
+    """PIECES rows with sequence_id, offset, and the bins and the bound of the group that packed them last.
+
+    rows is read several times: cut it first.
+    """
+    done, todo = [], rows
     for turn in range(ROUNDS):
         histogram = todo.groupBy("length").count().toPandas()  # at most capacity rows
         n = int(histogram["count"].sum()) if len(histogram) else 0
@@ -218,9 +263,8 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = G
         dealt = todo.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("long"))
         placed = cut(dealt.groupBy("group").applyInArrow(_packer(capacity, turn << 56), PLACED))
         used = placed.agg(F.count_distinct("sequence_id")).head()[0]
-        total = used
-        # one group has seen every piece: packing it again changes nothing
-        if total <= bound or groups == 1 or turn == ROUNDS - 1:
+        # one group has seen every piece that is left: packing it again changes nothing
+        if used <= bound or groups == 1 or turn == ROUNDS - 1:
             done.append(placed)
             break
         done.append(placed.where("settled"))

@@ -239,12 +239,25 @@ def test_bounds():
     assert len(free) == 3 and len(set(bins[1:3])) == 1
 
 
+def test_certified_groups_keep_their_bins(spark):
+    halves = np.full(400, 2048)
+    bins, _, free = packing.best_fit(halves, 4096)
+    assert len(free) == packing.lower_bound(np.array([2048]), np.array([400]), 4096) and not packing.given_up(free, len(free)).any()
+    # the emptiest bin of a certified group goes on, and all bins with gaps of another
+    assert packing.given_up(np.array([0, 5, 9]), 3).tolist() == [False, False, True] and packing.given_up(np.array([0, 5, 9]), 2).tolist() == [False, True, True]
+    pieces = spark.createDataFrame([(i, 0, 0, 2048 if i % 2 else 4096, 0) for i in range(900)], packing.PIECES).cache()
+    placed = packing.pack_pieces(pieces, group_pieces=100).collect()
+    assert len(_groups(placed, lambda r: r.sequence_id)) == 450 + 225 and all(r.group_bins >= r.group_bound for r in placed)
+    kept = [r for r in placed if r.sequence_id >> 56 == 0]
+    assert len(kept) >= 890 and all(r.group_bins == r.group_bound for r in kept)
+
+
 def test_tokenizer_words():
     from tokenizers import Tokenizer
 
     path = registry.tokenizer_path("word_bpe_49k.json")
     model, fast = Tokenizer.from_file(path), packing.WordTokenizer(path)
-    odd = ["", "Don't stop, it's 2nd's!!", "Été ÉCOLE straße İx Σς µ", "a\x1cb \x85c", "é x", "漢字 x漢 😀!?", "<|endoftext|> a", "x" * 5000, "THE||the **a**", "'s 'S a's b'll"]
+    odd = ["", "Don't stop, it's 2nd's!!", "Été ÉCOLE straße İx Σς µ", "a\x1cb \x85c", "é x", "漢字 x漢 😀!?", "<|endoftext|> a", "x" * 5000, "ß'S ÿ÷× µª º²\x85À\xa0b", "don''t'sm'RE9'9 a_b-\x00c", "THE||the **a**", "'s 'S a's b'll"]
     assert [np.frombuffer(b, "<u4").tolist() for b in fast.encode(odd)] == [model.encode(t, add_special_tokens=False).ids for t in odd]
 
 
