@@ -12,14 +12,14 @@ Documents keep whatever columns they have; the ledger carries ``doc_id`` only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _R, map_batches, mix, range_hash, word_steps
+from .common import Words, free_name, map_batches, named, range_hashes, same_ranges, word_steps
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -34,17 +34,17 @@ for _first, _last in ((0xE0B8, 0xE0BF), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE
         _UNSPACED[max(_first, _lead << 8 | 0x80) : min(_last, _lead << 8 | 0xBF) + 1] = True
 
 #: Bit of each rule, with its test on the measurements (all integer arithmetic).
-RULES: list[tuple[str, str]] = [
-    ("few_words", "n_words < 10"),
-    ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "10 * n_symbols > word_chars"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
-    ("short_words", "word_chars < 2 * n_words"),
+RULES: list[tuple[str, Callable]] = [
+    ("few_words", lambda m: m["n_words"] < 10),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["word_chars"]),
+    ("duplicate_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     # not where most characters are of scripts that do not part words
-    ("long_words", "word_chars * is_spaced > 20 * n_words"),
+    ("long_words", lambda m: m["word_chars"] * m["is_spaced"] > 20 * m["n_words"]),
     # only where the letters with a known case are most of the letters
-    ("shouting", "n_upper * is_cased > n_lower"),
-    ("unlettered", "2 * n_letters < word_chars"),
+    ("shouting", lambda m: m["n_upper"] * m["is_cased"] > m["n_lower"]),
+    ("unlettered", lambda m: 2 * m["n_letters"] < m["word_chars"]),
 ]
 BITS = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BITS["few_words"] | BITS["repeated_windows"]
@@ -57,11 +57,11 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def repeated_words(words: Words, k: int = 5) -> np.ndarray:
     """Per document, the words in k-word windows that its text holds twice or more."""
-    first, h = words.windows(k)
+    first, number = words.window_numbers(k)
     if not len(first):
         return np.zeros(words.n_docs, np.int64)
-    key = h ^ mix(words.doc[first].astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key)
+    key = number * words.n_docs + words.doc[first]
+    order = np.argsort(key, kind="stable")
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[order][1:] == key[order][:-1]
     hit = first[order[same[1:] | same[:-1]]]
@@ -70,19 +70,29 @@ def repeated_words(words: Words, k: int = 5) -> np.ndarray:
 
 def duplicate_lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Per document, lines with a word, and those of them equal to an earlier line."""
-    breaks = np.flatnonzero(words.data == 10)
+    data = words.data
+    breaks = np.flatnonzero(data == 10)
     start = np.union1d(words.offsets[:-1], breaks + 1)
-    start = start[start < len(words.data)]
+    start = start[start < len(data)]
     stop = np.searchsorted(breaks, start)
-    end = np.append(breaks, len(words.data))[stop]
+    end = np.append(breaks, len(data))[stop]
     doc = np.searchsorted(words.offsets, start, "right") - 1
     end = np.minimum(end, words.offsets[doc + 1])
     filled = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, doc = start[filled], end[filled], doc[filled]
     lines = np.bincount(doc, minlength=words.n_docs)
-    key = range_hash(words.prefix, _R, start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1))
-    _, index = np.unique(key, return_index=True)
-    return lines, lines - np.bincount(doc[index], minlength=words.n_docs)
+    key = range_hashes(data, start, end)
+    order = np.lexsort((key, doc))
+    same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    a, b = order[1:][same], order[:-1][same]
+    if same_ranges(data, start[a], end[a], start[b], end[b]).all():
+        return lines, np.bincount(doc[a], minlength=words.n_docs)
+    # a hash met two lines: compare the lines themselves
+    raw, seen, repeats = data.tobytes(), set(), np.zeros(words.n_docs, np.int64)
+    for d, x, y in zip(doc.tolist(), start.tolist(), end.tolist()):
+        repeats[d] += (d, raw[x:y]) in seen
+        seen.add((d, raw[x:y]))
+    return lines, repeats
 
 
 def unspaced(words: Words) -> np.ndarray:
@@ -117,22 +127,39 @@ def measure(words: Words) -> dict[str, np.ndarray]:
     }
 
 
-def measurements(docs: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for first, last, words in word_steps(batch.column("text")):
-            yield {"keep": batch.column("keep")[first:last]} | measure(words)
+def measurements(text: Column) -> Column:
+    """All measurements of a text, as one struct."""
+    from pyspark.sql.types import StructType
 
-    kind = docs.schema[keep].dataType.simpleString()
-    rows = map_batches(docs.select(F.col(keep).alias("keep"), F.col(text).alias("text")), run, f"keep {kind}, {MEASURES}")
-    return rows.withColumnRenamed("keep", keep)
+    kinds = StructType.fromDDL(MEASURES)
 
+    @F.arrow_udf(kinds)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [measure(words) for _, _, words in word_steps(texts)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for n in kinds.names], kinds.names)
 
-def ledger(docs: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """keep, the measurements and ``failed_bits`` (bit k: rule k of RULES fails)."""
+    return run(text)
+
+
+def failed_bits(m: Column) -> Column:
+    """Bit k: rule k of RULES fails."""
     bits: Column = F.lit(0).cast("long")
     for name, test in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(BITS[name])).otherwise(0).cast("long"))
-    return measurements(docs, text, keep).withColumn("failed_bits", bits)
+        bits = bits.bitwiseOR(F.when(test(m), F.lit(BITS[name])).otherwise(0).cast("long"))
+    return bits
+
+
+def with_ledger(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """The documents, all columns as they were, with one more that holds their ledger entry; and its name."""
+    name = free_name(docs.columns, "ledger")
+    rows = docs.select("*", measurements(named(text)).alias(name))
+    return rows.withColumn(name, named(name).withField("failed_bits", failed_bits(named(name)))), name
+
+
+def ledger(docs: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
+    """keep, the measurements and ``failed_bits``."""
+    rows, name = with_ledger(docs.select(named(keep), named(text)), text)
+    return rows.select(named(keep), f"{name}.*")
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -161,22 +188,8 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """Documents that a policy keeps, all columns as they were.
 
-    The rules run inside one pass that carries only the text; rows travel whole,
-    so no join and no shuffle is needed.
+    The ledger travels in a column beside the document, so no join and no shuffle is needed.
     """
     mask = POLICIES[policy] | BASE
-    names = {f.name for f in docs.schema}
-    probe = next(c for c in ("rule_bits", "rule_bits_", "rule_bits__") if c not in names)
-
-    @F.pandas_udf("long")
-    def bits(texts):
-        out = np.zeros(len(texts), np.int64)
-        for first, last, words in word_steps(pa.Array.from_pandas(texts, type=pa.string())):
-            m = measure(words)
-            for name, test in RULES:
-                out[first:last] |= np.where(eval(test, {}, m), BITS[name], 0)  # noqa: S307  the tests are constants above
-        import pandas as pd
-
-        return pd.Series(out)
-
-    return docs.withColumn(probe, bits(F.col(text))).where(F.col(probe).bitwiseAND(F.lit(mask)) == 0).drop(probe)
+    rows, name = with_ledger(docs, text)
+    return rows.where(named(name)["failed_bits"].bitwiseAND(F.lit(mask)) == 0).drop(name)

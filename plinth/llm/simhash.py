@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, text_steps
+from .common import cut, map_batches, named, text_steps
 
 SHINGLE = 4
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: str = "doc_id") -> D
             yield {"keep": batch.column("keep")[first:last], "fp": np.array(found, np.uint64).view(np.int64)}
 
     kind = docs.schema[keep].dataType.simpleString()
-    return map_batches(docs.select(F.col(keep).alias("keep"), F.col(text).alias("text")), run, f"keep {kind}, fp long").withColumnRenamed("keep", keep)
+    return map_batches(docs.select(named(keep).alias("keep"), named(text).alias("text")), run, f"keep {kind}, fp long").withColumnRenamed("keep", keep)
 
 
 _EVEN = 0x5555555555555555
@@ -161,9 +161,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: str = "doc_id", r
     rooted = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # cut, so that both sides of the join are dealt anew and a large class can be split
     label = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = rooted.join(label, "root").select("fp", "component_id")
+    classes = rooted.join(label, "root").select("fp", "component_id")
     code = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select(keep, "fp", code.alias("fingerprint"), "component_id")
+    return marked.join(classes, "fp").select(named(keep), "fp", code.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,5 +174,5 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), text)
     first = cut(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*[named(c) for c in docs.columns]).union(docs.where(F.col("doc_id").isNull()))

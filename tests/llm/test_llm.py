@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, htmltext, langid, packing, ranking, registry, rules, simhash, substring, topk, urllists
+from plinth.llm import bpe, common, htmltext, langid, packing, ranking, registry, rules, simhash, substring, topk, urllists
 from plinth.llm.graph import components
 from tests.llm import helpers as H
 
@@ -51,6 +51,35 @@ def test_measurements_like_brute_force(spark, texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == H.brute_rules(odd[r.doc_id])
 
 
+def thue_morse(n=10):
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_equal_hashes_are_not_equal_words(spark):
+    """The two words have one polynomial hash in any odd base."""
+    t, u = thue_morse()
+    rest = " ".join(f"w{k}" for k in range(19))
+    odd = [f"{t} a b c d {u} a b c d", f"{t}\n{u}\n{t}", f"{t} {rest} {u} {rest}", f"{t} {t}"]
+    words = common.Words(np.frombuffer((odd[0]).encode(), np.uint8), np.array([0, len(odd[0])]))
+    assert len(set(words.hash.tolist())) == 5 and len(set(words.number.tolist())) == 6
+    for r in rules.ledger(H.plain_documents(spark, odd)).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == H.brute_rules(odd[r.doc_id])
+
+
+def test_long_texts_in_parts():
+    text = ("x" * (3 << 20) + " " + "some words of a long text\n" * 200_000 + "y" * (2 << 20)).encode()
+    words = common.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    want = H.brute_rules(text.decode())
+    got = rules.measure(words)
+    assert tuple(int(got[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+    assert words.joined(np.ones(len(words), bool)) == [b" ".join(text.split())] and len(set(words.number.tolist())) == 8
+    parts = common.range_hashes(np.frombuffer(text, np.uint8), np.array([0]), np.array([3 << 20]))
+    assert parts[0] == words.hash[0] and max(map(len, common._POWERS.values())) <= common.STEP_BYTES + 1024
+
+
 def test_policies_and_ablation(spark, texts):
     rows = rules.ledger(spark.read.parquet(DOCUMENTS)).cache()
     bits = [r.failed_bits for r in rows.collect()]
@@ -183,6 +212,34 @@ def test_substrings_of_random_passages(spark, letters):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and sum(s.last - s.first for s in r.spans) == r.n_removed
 
 
+def test_substrings_under_one_hash(spark):
+    """Words that share a hash: in one batch, across batches, and beside a real copy."""
+    t, u = thue_morse()
+    rest = [f"w{k}" for k in range(40)]
+    line = lambda w, n=19: " ".join([w, *rest[:n]])
+    texts = [line(t), line(u), line(u), line(t, 30), line(u, 30), f"{line(t)} x {line(u)} y {line(u)}", line(t) + "\n" + line(t)]
+    want = H.brute_substrings(dict(enumerate(texts)))
+    assert want[1][1] == 0 and want[2][1] == 20
+    for parts in (1, 7):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts, "doc_id")
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs).collect()} == want
+
+
+def test_substrings_of_texts_under_one_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a), (1, a), (1, f"{a} {a}"), (2, b), (2, f"{b} tail {a}"), (None, b)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # rows of one id are not earlier than each other; a row without an id is
+    assert got == [(0, 30, 0), (1, 30, 0), (1, 30, 0), (1, 60, 30), (2, 30, 30), (2, 61, 60)]
+
+
+def test_greedy_factors():
+    own = [str(k).encode() for k in range(100)]
+    assert substring.parse(own, [(0, own[:25]), (0, own[:40]), (30, own[30:60]), (21, own[21:45])]) == [(0, 40), (21, 45), (30, 60)]
+    broken = own[10:40] + [b"x"] + own[41:70]
+    assert substring.equal_runs(own, 10, broken) == [(10, 40), (41, 70)] and substring.equal_runs(own, 90, own[90:] + [b"y"] * 30) == []
+
+
 def test_substrings_on_hard_rows(spark, hard):
     out = substring.strip_documents(hard)
     assert out.columns == hard.columns and out.count() == hard.count()
@@ -192,6 +249,14 @@ def test_substrings_on_hard_rows(spark, hard):
     assert substring.dedup(hard.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["filter", "rank", "near", "strip"])
+def test_clashing_names(spark, hard, stage):
+    odd = hard.select("doc_id", "text", F.lit(1).alias("a.b"), F.lit(2).alias("LEDGER"), F.lit(3).alias("ledger_"), F.lit(4).alias("RANK_SCORE"), F.lit(5).alias("rank_score_"), F.lit(6).alias("rest"), F.lit(7).alias("c`d"))
+    run = {"filter": rules.filter_documents, "rank": lambda d: ranking.keep_documents(d, ranking.Ranker(np.zeros(3 * len(ranking.FEATURES)), 0.0, 0.0)), "near": simhash.drop_near_duplicates, "strip": substring.strip_documents}[stage]
+    out = run(odd)
+    assert out.columns == odd.columns and {tuple(r)[2:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+
+
 # ------------------------------------------------------------------ packing
 
 def test_pieces_and_sequences(spark, texts):
