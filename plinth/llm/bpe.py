@@ -7,8 +7,12 @@ minimum-rank pair of every piece at once until nothing changes.  Ids decode by a
 ordered aggregation of the tokens' bytes.
 
 A piece that is itself a token is that token, as the tiktoken library has it.
-Pieces above ``LONG`` bytes go through a heap instead of the query, whose rounds
-times rows grow with the square of a piece's length; the result is the same.
+Longer pieces are first cut where two bytes meet that no token holds side by side:
+no merge ever crosses such a place, so the parts contract each for itself, and text
+without spaces comes down to short parts that recur.  The query's rounds times rows
+grow with the square of a part's length, so it takes as many parts at a time as keep
+that within ``STEPS``; a part above ``LONG`` bytes (one run of letters, say) goes
+through a heap, with the same result.
 
 Null texts are empty: no ids, the digest of nothing.  Every row is encoded for
 itself, so repeated rows repeat results.  Lone surrogates cannot occur in UTF-8.
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_steps
 
-LONG = 128
+LONG, SHORT = 128, 32
+#: Rows times rounds, and parts, of one query.
+STEPS, PARTS = 1 << 21, 20_000
 #: Letters and a tail of marks: after a space, one or two pieces by the usual pattern (a codec tries it out first).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%&*#$]*)")
 MEMORY = "400MB"
@@ -137,7 +143,12 @@ class Codec:
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM t")
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.side_by_side = np.zeros(1 << 16, bool)
+        for t in self.ranks:
+            b = np.frombuffer(t, np.uint8).astype(np.int32)
+            self.side_by_side[b[:-1] << 8 | b[1:]] = True
         self.pieces: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -146,8 +157,8 @@ class Codec:
             cls._shared[path, pattern] = cls(path, pattern)
         return cls._shared[path, pattern]
 
-    def contract(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces, by the recursive query."""
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian ids of pieces, by the recursive query."""
         import numpy as np
 
         sizes = np.array([len(p) for p in pieces], np.int64)
@@ -161,30 +172,59 @@ class Codec:
             }
         )
         self.db.register("start", start)
-        found = self.db.execute(CONTRACT).to_arrow_table()
+        found = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        out: list[list[int]] = [[]] * len(pieces)
-        for k, ids in zip(found.column("piece").to_pylist(), found.column("ids").to_pylist()):
-            out[k] = ids
+        lists = found.column("ids").combine_chunks()
+        ends = (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+        raw = lists.values.to_numpy().astype("<u4").tobytes()
+        out = [b""] * len(pieces)
+        for k, x, y in zip(found.column("piece").to_pylist(), ends, ends[1:]):
+            out[k] = raw[x:y]
         return out
 
+    def cut(self, piece: bytes) -> list[bytes]:
+        """The parts of a piece that no merge joins."""
+        import numpy as np
+
+        b = np.frombuffer(piece, np.uint8).astype(np.int32)
+        at = [0, *(np.flatnonzero(~self.side_by_side[b[:-1] << 8 | b[1:]]) + 1).tolist(), len(piece)]
+        return [piece[x:y] for x, y in zip(at, at[1:])]
+
+    def _contracted(self, parts: list[bytes]) -> Iterator[bytes]:
+        """Ids of parts, as many at a time as the query may hold."""
+        first, steps = 0, 0
+        for k, p in enumerate(parts):
+            steps += len(p) * len(p)
+            if k + 1 == len(parts) or k + 1 - first == PARTS or steps + len(parts[k + 1]) ** 2 > STEPS:
+                yield from self.contract(parts[first : k + 1])
+                first, steps = k + 1, 0
+
     def _learn(self, pieces: set[str]) -> None:
         if len(self.pieces) > self.LIMIT_PIECES:
             self.pieces = {}
+        if len(self.parts) > self.LIMIT:
+            self.parts = {}
         todo: list[str] = []
+        short: list[bytes] = []
+        long: dict[str, list[bytes]] = {}
         for p in pieces:
             if p not in self.pieces:
                 b = p.encode()
                 if (rank := self.ranks.get(b)) is not None:
                     self.pieces[p] = array("I", [rank]).tobytes()
-                elif len(b) > LONG:
-                    self.pieces[p] = array("I", heap_encode(b, self.ranks)).tobytes()
+                elif len(b) > SHORT:
+                    long[p] = self.cut(b)
                 else:
                     todo.append(p)
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            for p, ids in zip(part, self.contract([p.encode() for p in part])):
-                self.pieces[p] = array("I", ids).tobytes()
+                    short.append(b)
+        self.pieces.update(zip(todo, self._contracted(short)))
+        if long:
+            parts = set().union(*long.values()).difference(self.parts)
+            self.parts.update((b, array("I", heap_encode(b, self.ranks)).tobytes()) for b in parts if len(b) > LONG)
+            rest = [b for b in parts if len(b) <= LONG]
+            self.parts.update(zip(rest, self._contracted(rest)))
+            get = self.parts.__getitem__
+            self.pieces.update((p, b"".join(map(get, found))) for p, found in long.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

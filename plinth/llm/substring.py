@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from .common import Words, cut, map_batches, mix, named, text_buffer, text_steps
 
 WINDOW = 20
 PHRASE = 6
-#: Windows of a reference block.
-CELL = 256
+#: Windows of a block that is cut out of the reference, and bytes of the rows that are one for each other.
+CELL, BLOCK_BYTES = 256, 12 << 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
 #: Sort keys need an order on ids; a row without one comes first.
 _NO_ID = np.iinfo(np.int64).min
@@ -148,6 +149,24 @@ class _Spans:
         return out
 
 
+@dataclass
+class _Block:
+    """Rows of a batch that are a reference block of their own."""
+
+    first: int
+    texts: pa.Array
+    key: np.ndarray
+    tag: np.ndarray
+    bounds: np.ndarray
+    raw: bytes
+
+
+def _blocks(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[_Block]:
+    key, tag = _column(batch, "key"), _column(batch, "tag")
+    for first, last, data, bounds in text_steps(texts, BLOCK_BYTES):
+        yield _Block(first, texts[first:last], key[first:last], tag[first:last], bounds, data.tobytes())
+
+
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -234,12 +253,12 @@ def tiles(rows: DataFrame) -> DataFrame:
     """SPAN rows: the tiles of every text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        data, bounds = text_buffer(batch.column("text"))
-        spans = _Spans()
-        for first, _, part, offsets in text_steps(batch.column("text")):
-            words = Words(part, offsets)
-            spans.add(words, first, int(bounds[first] - bounds[0]), *_tiles(words))
-        yield spans.settled(_column(batch, "key"), _column(batch, "tag"), data[bounds[0] : bounds[-1]].tobytes())
+        for part in _blocks(batch, batch.column("text")):
+            spans = _Spans()
+            for first, _, data, offsets in text_steps(part.texts):
+                words = Words(data, offsets)
+                spans.add(words, first, int(part.bounds[first]), *_tiles(words))
+            yield spans.settled(part.key, part.tag, part.raw)
 
     return map_batches(rows.select("key", "tag", "text"), run, SPAN)
 
@@ -248,18 +267,18 @@ def windows(dealt: DataFrame, marks: DataFrame) -> DataFrame:
     """SPAN rows: the windows of the tiles in doubt, two hashes of each in place of anchor and span."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts, lists = _unpacked(batch.column("z")), _Lists(batch.column("marks"))
-        data, bounds = text_buffer(texts)
-        spans, half = _Spans(), WINDOW // 2
-        for first, last, part, offsets in text_steps(texts):
-            words, some = Words(part, offsets), lists.within(first, last)
-            doubt = lists["kind"][some] == DOUBT
-            at, owner = _starts(lists["start"][some][doubt], lists["n"][some][doubt], lists.row[some][doubt] - first)
-            at = at + words.word_offsets[owner]
-            ok = at + WINDOW <= words.word_offsets[owner + 1]  # false only for other texts with the same key and tag
-            at = np.unique(at[ok])
-            spans.add(words, first, int(bounds[first] - bounds[0]), at, np.ones(len(at), np.int64), words.span_hash(at, at + WINDOW), words.span_hash(at, at + half) + _SALT * words.span_hash(at + half, at + WINDOW))
-        yield spans.settled(_column(batch, "key"), _column(batch, "tag"), data[bounds[0] : bounds[-1]].tobytes())
+        lists, half = _Lists(batch.column("marks")), WINDOW // 2
+        for part in _blocks(batch, _unpacked(batch.column("z"))):
+            spans = _Spans()
+            for first, last, data, offsets in text_steps(part.texts):
+                words, some = Words(data, offsets), lists.within(part.first + first, part.first + last)
+                doubt = lists["kind"][some] == DOUBT
+                at, owner = _starts(lists["start"][some][doubt], lists["n"][some][doubt], lists.row[some][doubt] - part.first - first)
+                at = at + words.word_offsets[owner]
+                ok = at + WINDOW <= words.word_offsets[owner + 1]  # false only for other texts with the same key and tag
+                at = np.unique(at[ok])
+                spans.add(words, first, int(part.bounds[first]), at, np.ones(len(at), np.int64), words.span_hash(at, at + WINDOW), words.span_hash(at, at + half) + _SALT * words.span_hash(at + half, at + WINDOW))
+            yield spans.settled(part.key, part.tag, part.raw)
 
     asked = marks.where(F.exists("marks", lambda m: m["kind"] == DOUBT))
     return map_batches(dealt.join(asked, ["key", "tag"]).select("key", "tag", "z", "marks"), run, SPAN)

@@ -354,7 +354,13 @@ def test_codec_like_the_library(byte_pairs):
     encoded = codec.encode(odd)
     assert [np.frombuffer(e, "<u4").tolist() for e in encoded] == [library.encode_ordinary(t) for t in odd]
     assert codec.decode(encoded) == [t.encode() for t in odd]
-    assert codec.contract([b"abcabc", b"zzzzzz"]) == [bpe.heap_encode(b"abcabc", codec.ranks), bpe.heap_encode(b"zzzzzz", codec.ranks)]
+    # text without spaces comes down to short parts; a run of one letter does not
+    chinese = "".join(rng.choice("春江潮水连海平海上明月共潮生滟滟随波千万里何处春江无月明") for _ in range(3000))
+    mixed = ["".join(rng.choice(["é", "ö", "漢", "字", "ab", "the", "\u0e01", "😀"]) for _ in range(rng.randint(20, 400))) for _ in range(100)]
+    long = [chinese, *mixed, "y" * 127, "y" * 129, "ACGT" * 200]
+    assert [np.frombuffer(e, "<u4").tolist() for e in codec.encode(long)] == [library.encode_ordinary(t) for t in long]
+    assert max(map(len, codec.cut(chinese.encode()))) <= bpe.LONG and b"".join(codec.cut(chinese.encode())) == chinese.encode()
+    assert [np.frombuffer(e, "<u4").tolist() for e in codec.contract([b"abcabc", b"zzzzzz"])] == [bpe.heap_encode(b"abcabc", codec.ranks), bpe.heap_encode(b"zzzzzz", codec.ranks)]
 
 
 def test_encoding_tables(spark, hard, texts, byte_pairs):
