@@ -6,10 +6,12 @@ class is a connected component of links.
 
 Search.  A fingerprint is embedded as 32 counts, the set bits of each 2-bit
 segment.  The Manhattan distance of two embeddings never exceeds the Hamming
-distance of the fingerprints.  The 32 axes are cut into ``GROUPS`` groups; if the
-Manhattan distance is at most 4, at least GROUPS - 4 groups agree exactly, so a
-pair shares a grid cell for one choice of GROUPS - 4 groups.  Pairs of a cell are
-kept by the Manhattan bound and then verified on the fingerprints.
+distance of the fingerprints.  The 32 axes are cut into groups; if the Manhattan
+distance is at most 4, all but 4 groups agree exactly, so a pair shares a grid cell
+for one choice of groups to agree on.  Pairs of a cell are kept by the Manhattan
+bound and then verified on the fingerprints.  More groups make finer cells and more
+postings; ``group_count`` takes the number at which both together are least, so that
+pairs do not grow with the square of the fingerprints.  It never changes a result.
 
 Dense cells.  Equal fingerprints are one node.  Nodes at most 2 bits apart share
 a neighbour within 1 bit, so 65 keys a node link them without any pair being
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,6 @@ from .common import cut, map_batches, named, text_steps
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-GROUPS = 7
 _STEP = 1 << 14
 
 
@@ -100,7 +102,16 @@ def group_masks(groups: int) -> list[int]:
     return [sum(3 << 2 * i for i in range(a, b)) for a, b in zip(ends, ends[1:])]
 
 
-def postings(nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+def group_count(n: int, radius: int = RADIUS) -> int:
+    """The number of groups with the least postings and chance pairs a node, n nodes in all.
+
+    The count of a 2-bit segment carries 1.5 bits, so g of m groups tell 2**(48 g / m) cells apart.
+    """
+    cost = lambda m: comb(m, radius) * (1 + n / 2 ** (48 * (m - radius) / m))
+    return min(range(radius + 2, 33), key=cost)
+
+
+def postings(nodes: DataFrame, radius: int, groups: int) -> DataFrame:
     """(choice, cell, fp, e): a row for each choice of groups - radius groups that may agree."""
     choices = [_signed(sum(c)) for c in combinations(group_masks(groups), groups - radius)]
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(choices)]))
@@ -127,17 +138,18 @@ def _near_classes(nodes: DataFrame) -> DataFrame:
     return components(keys.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS, dense: int = DENSE) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, groups: int | None = None, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) of fingerprints whose components are those of all pairs within radius.
 
     nodes: distinct fingerprints ``fp``.  In cells of up to ``dense`` members every
     pair within radius is there; in larger ones links inside a class of close
     fingerprints (steps of 2 bits or less) stand for its pairs.
     """
-    from pyspark.sql import Window
-
     cell = ["choice", "cell"]
-    shared = cut(postings(nodes, radius, groups).withColumn("n", F.count("*").over(Window.partitionBy(*cell))).where("n > 1"))
+    posted = postings(nodes, radius, groups or group_count(nodes.count(), radius))
+    # counts are summed before they are dealt, and a join that meets a crowded cell can be split
+    crowds = posted.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(posted.join(crowds, cell))
     found = _close_pairs(shared.where(F.col("n") <= dense).drop("n"), cell, F.col("fp") < F.col("fp_"), radius)
     crowded = shared.where(F.col("n") > dense)
     if radius >= 2 and crowded.head(1):
@@ -151,7 +163,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, groups: int = GROUPS, dense: i
     return found
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", keep: str = "doc_id", radius: int = RADIUS, groups: int = GROUPS, dense: int = DENSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", keep: str = "doc_id", radius: int = RADIUS, groups: int | None = None, dense: int = DENSE) -> DataFrame:
     """keep, fp, fingerprint (16 hex digits) and component_id, the least ``keep`` of the class."""
     from .graph import components
 

@@ -147,8 +147,15 @@ def test_fingerprints_and_components(spark, texts):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{f:016x}", want[i]) for i, f in zip(ids, prints)}
 
 
-@pytest.mark.parametrize("dense", [256, 4])
-def test_links_in_dense_balls(spark, dense):
+def test_more_groups_for_more_fingerprints():
+    assert [simhash.group_count(10**k) for k in (0, 5, 7, 9)] == sorted(simhash.group_count(10**k) for k in (0, 5, 7, 9))
+    # chance pairs a node stay near the postings
+    m = simhash.group_count(10**9)
+    assert 10**9 / 2 ** (48 * (m - 4) / m) < 4
+
+
+@pytest.mark.parametrize("dense, groups", [(256, None), (4, 7), (256, 9)])
+def test_links_in_dense_balls(spark, dense, groups):
     rng = random.Random(8)
     points = set()
     for centre in [rng.getrandbits(64) for _ in range(3)] + [0]:
@@ -160,7 +167,7 @@ def test_links_in_dense_balls(spark, dense):
     points = sorted(points)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     want = H.brute_components(points, points)
-    root = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(signed(p),) for p in points], "fp long"), dense=dense)).collect()}
+    root = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(signed(p),) for p in points], "fp long"), groups=groups, dense=dense)).collect()}
     classes = lambda key: sorted(sorted(v) for v in _groups(points, key).values())
     assert classes(lambda p: root.get(signed(p), signed(p))) == classes(want.get)
 
@@ -422,8 +429,34 @@ def test_top_k_like_brute_force(spark):
     v[50:60] = v[49]
     df = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
     ints = {i: [int(np.floor(1024 * float(np.float32(a)))) for a in row] for i, row in enumerate(v)}
-    got = topk.top_k(df, F.col("vec_id") % 100 == 0, group=64, block=2).collect()
-    assert {tuple(r) for r in got} == brute_top(ints, [0, 100, 200, 300])
+    want = brute_top(ints, [0, 100, 200, 300])
+    for group, block in ((64, 2), (7, 1), (None, None)):
+        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, group=group, block=block).collect()} == want
+
+
+def test_top_k_of_equal_and_of_long_vectors(spark):
+    """One length for all, so that only a hash parts the groups; and one vector of very many components."""
+    rng = np.random.default_rng(2)
+    v = rng.choice([-1.0, 1.0], (300, 8))
+    rows = [(i, [float(a) for a in row]) for i, row in enumerate(v)] + [(1000, [0.5] * 50_000), (1100, [])]
+    ints = {i: [int(1024 * a) for a in row[:8]] + [0] * max(0, 8 - len(row)) for i, row in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, group=40, block=3).collect()} == brute_top(ints, [0, 100, 200, 1000, 1100])
+
+
+def test_groups_hold_their_lengths():
+    norms = np.array([9.0, 9, 9, 9, 4, 4, 1, 0])
+    groups = topk.Groups([(3, 8, [1.0, 4, 4, 9, 9, 9, 9, 9], 9.0)], 2)
+    part = groups.of(np.full(8, 3), norms, np.arange(8))
+    assert all(np.sqrt(n) <= groups.longest[p] for n, p in zip(norms, part)) and len(groups) == 4 and groups.longest == sorted(groups.longest, reverse=True)
+
+
+def test_long_queries_visit_few_groups(spark):
+    rng = np.random.default_rng(3)
+    v = rng.random((2000, 4)) * np.r_[np.full(50, 100.0), np.full(1950, 0.01)][:, None]
+    df = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(1024 * a)) for a in row] for i, row in enumerate(v.tolist())}
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 1000 == 0, group=50).collect()} == brute_top(ints, [0, 1000])
 
 
 def test_top_k_on_hard_rows(spark):
