@@ -22,7 +22,9 @@ out that lack their end tag end with their parent.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, named
 from .hosts import host_of
 
 #: Winning paths up to this many rows are broadcast (some 100 bytes each); more are joined by host.
@@ -53,7 +55,7 @@ BLOCKS = CONTAINERS | frozenset(
 )
 #: Elements that hold text only, and elements whose markup is passed over whole.
 TEXT_ONLY = frozenset("script style title textarea iframe".split())
-RAW = TEXT_ONLY | frozenset("noscript template svg math object head select".split())
+RAW = TEXT_ONLY | frozenset("noscript template svg annotation annotation-xml object head select".split())
 #: What a head may hold; anything else ends it, with or without its end tag.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("br img hr meta link input area base col embed source track wbr".split())
@@ -67,6 +69,11 @@ LAYOUT_WORDS = frozenset("banner breadcrumb breadcrumbs footer form header login
 #: Words of classes that say what else a page has, and of classes that hold the content.
 FLAG_WORDS = frozenset("has with without no not is open closed".split())
 CONTENT_WORDS = frozenset("article body col column container content entry layout main page post site story text wrap wrapper".split())
+#: Noise words that are part of other terms (a share price, social security), and the words that may stand beside them.
+TERM_WORDS = frozenset("share social form".split())
+PART_WORDS = frozenset("area bar block bottom box btn button buttons contact count counts fixed float floating group icon icons inline inner item items left like link links list media network networks on outer panel post right row section site sticky tool tools top us wrap wrapper".split())
+#: Characters of a path; of a longer one the rest is a digest.
+PATH_CHARS = 300
 KEEP_TAGS = frozenset("html body main article".split())
 #: How sure an element is left out: by part of a class or as a form, by the name of a layout part, by another name, by tag or role, always.
 WEAK, LAYOUT, NAMED, TAG, DROP = range(1, 6)
@@ -86,6 +93,8 @@ def _class_noise(names: list[str]) -> int:
             continue
         holds = not CONTENT_WORDS.isdisjoint(words)
         hit = NOISE_WORDS.intersection(words)
+        if hit and hit <= TERM_WORDS and not all(w in NOISE_WORDS or w in PART_WORDS or w in CONTENT_WORDS for w in words):
+            continue
         if hit - LAYOUT_WORDS:
             return NAMED
         if hit:
@@ -114,6 +123,14 @@ def _noisy(tag: str, raw: str) -> tuple[int, str]:
     return max(by_tag, by_name), ".".join(sorted({re.sub(r"\d+", "0", c) for c in names}))
 
 
+def _below(path: str, part: str) -> str:
+    """The path of a part below a path, of bounded length: deep markup must not cost the square of its depth."""
+    whole = f"{path}/{part}"
+    if len(whole) <= PATH_CHARS:
+        return whole
+    return f"{whole[:PATH_CHARS]}~{hashlib.blake2b(whole.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
+
+
 class _Ends:
     """Where the elements of RAW end: after their end tag, or None without one."""
 
@@ -159,6 +176,7 @@ class Page:
         container, owner, noise, links, at = 0, 0, 0, 0, 0
         text: list[str] = []
         linked = 0
+        open_tags: Counter[str] = Counter()
 
         def flush() -> None:
             nonlocal text, linked
@@ -172,12 +190,13 @@ class Page:
         def pop(depth: int) -> None:
             nonlocal container, owner, noise
             while len(stack) > depth:
-                _, container, owner, out = stack.pop()
+                tag, container, owner, out = stack.pop()
+                open_tags[tag] -= 1
                 noise -= out
 
         def end_head() -> None:
             """The head is over, with what is open in it."""
-            for k in range(len(stack)):
+            for k in range(len(stack) if open_tags["head"] else 0):
                 if stack[k][0] == "head":
                     pop(k)
                     break
@@ -226,6 +245,7 @@ class Page:
                     if out:
                         flush()
                     stack.append((tag, container, owner, out == DROP))
+                    open_tags[tag] += 1
                     noise += out == DROP
                     if out:
                         self.kinds.append(out)
@@ -236,7 +256,7 @@ class Page:
                     elif not noise and tag in ("main", "article"):
                         self._mark(self.holds_main if tag == "main" else self.holds_article, owner)
                     if tag in CONTAINERS:
-                        self.paths.append(f"{self.paths[container]}/{tag}{'.' + classes if classes else ''}")
+                        self.paths.append(_below(self.paths[container], f"{tag}{'.' + classes if classes else ''}"))
                         self.tags.append(tag)
                         self.parents.append(container)
                         container = len(self.paths) - 1
@@ -246,7 +266,7 @@ class Page:
                     links = max(0, links - 1)
                 if tag in BLOCKS:
                     flush()
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1 if open_tags[tag] else -1, -1, -1):
                     if stack[k][0] == tag:
                         flush()
                         pop(k)
@@ -326,11 +346,12 @@ class Page:
         """Score and plain text length of each container."""
         score, size = [0.0] * len(self.paths), [0] * len(self.paths)
         for container, text, linked in self.blocks:
-            worth, weight = len(text) - linked, 1.0
-            while container >= 0:
-                score[container] += worth * weight
-                size[container] += worth
-                container, weight = self.parents[container], weight * 0.75
+            score[container] += len(text) - linked
+            size[container] += len(text) - linked
+        # a container stands before those inside it
+        for k in range(len(self.paths) - 1, 0, -1):
+            score[self.parents[k]] += 0.75 * score[k]
+            size[self.parents[k]] += size[k]
         for k, tag in enumerate(self.tags):
             score[k] *= {"article": 2.0, "main": 1.5, "": 0.1, "html": 0.3}.get(tag, 1.0)
         return score, size
@@ -394,7 +415,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
                     hosts.append(host), paths.append(path), weights.append(int(1000 * weight))
         yield {"host": hosts, "path": paths, "weight": weights}
 
-    votes = map_batches(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), run, "host string, path string, weight long")
+    votes = map_batches(pages.select(host_of(named(url)).alias("host"), named(html).alias("html")), run, "host string, path string, weight long")
     summed = votes.groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     order = Window.partitionBy("host").orderBy(F.desc("weight"), "path")
     return summed.withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
@@ -409,7 +430,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     side = winners.withColumnRenamed("host", "winner_host")
     if winners.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
+    rows = pages.select(named(key).alias("key"), named(url).alias("url"), named(html).alias("html"), host_of(named(url)).alias("host"))
     joined = rows.join(side, F.col("host") == F.col("winner_host"), "left").select("key", "url", "html", "path")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:

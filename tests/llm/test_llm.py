@@ -565,6 +565,67 @@ def test_text_beside_the_voted_container():
     assert htmltext.Page(part + "b" * 150 + "<a href=x>" + "c" * 200 + "</a></p></div></div>").text(path) == "a" * 600
 
 
+def test_deep_markup():
+    import time
+
+    deep, began = 20_000, time.perf_counter()
+    nested = htmltext.Page("<div>".join(["<article>", *[f"t{k} " for k in range(deep)]]) + "</section>" * deep + "</div>" * deep)
+    nested.votes()
+    assert len(nested.text(None)) > 100 and sum(map(len, nested.paths)) < 400 * deep
+    apart = htmltext.Page("<div><p>x</p>" * 50_000)
+    assert apart.paths[-1] != apart.paths[-2] and time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><div class="share-price"><p>4.20</p></div><div class="share-buttons">Tweet</div><p>text</p></article>', "4.20\n\ntext"),
+        ('<article><div class="social-security"><p>a</p></div><div class="social-links">Follow</div><p>b</p></article>', "a\n\nb"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>", "so x=1 holds"),
+    ],
+)
+def test_terms_and_formulas(html, want):
+    assert htmltext.Page(html).text(None) == want
+
+
+def parsed_article(html):
+    """The blocks of the articles by the standard library's parser: an independent reading of plain pages."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.out, self.blocks = 0, 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.out += tag in ("script", "style", "aside", "nav", "form", "footer", "header")
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag not in ("b", "i", "em", "strong", "a", "span", "code", "sub", "sup", "u", "small"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.out -= tag in ("script", "style", "aside", "nav", "form", "footer", "header")
+            if tag in ("p", "h1", "h2", "li", "div", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth and not self.out:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(html)
+    return "\n\n".join(t for t in (" ".join(b.split()) for b in reader.blocks) if t)
+
+
+def test_pages_like_another_parser(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    rows = registry.op7_html_text(spark, FOLDER).collect()
+    assert len(rows) == len(pages) and [r.page_id for r in rows if r.text != parsed_article(pages[r.page_id])] == []
+
+
 def test_pages_and_votes(spark):
     from html import unescape
     import re
