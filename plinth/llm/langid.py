@@ -2,8 +2,8 @@
 
 The network reads the bytes of a word, led by a space, in both directions, and
 gives every byte position a distribution over languages.  It is trained in numpy
-by backpropagation through time on words of a bounded sample of documents (at
-most ``SAMPLE`` a language, chosen by a hash of the id, held-out ids excluded).
+by backpropagation through time on words of a bounded sample of documents (see
+``learn``; held-out ids excluded).
 A document's log probabilities are pooled over all positions of all its words that
 hold a letter.  A word's position labels depend on nothing outside it, so sums are
 memoised by word.  Words above ``PIECE`` bytes are read in pieces; nothing is cut.
@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, text_steps
+from .common import held_out, map_batches, named, text_steps
 
 UNKNOWN = "und"
-#: Documents a language to learn from, and languages at most.
-SAMPLE, LANGUAGES = 300, 64
+#: The fitting sample: documents a language, languages, documents in all and characters of a document at most.
+SAMPLE, LANGUAGES, DOCUMENTS, FIT_CHARS = 300, 256, 20_000, 16_384
 HIDDEN, INPUT, STEPS, BATCH, PIECE = 16, 12, 500, 256, 48
 #: Positions whose mean log probabilities count in full in a score.
 SHARP = 16.0
@@ -232,24 +232,33 @@ class Reader:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, steps: int = STEPS) -> Network | None:
-    """A network trained on documents that are not held out and have a language."""
-    known = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """A network trained on documents that are not held out and have a language.
+
+    The fitting sample is bounded: of the LANGUAGES languages with most documents each
+    gives ``sample`` documents (fewer if all together would pass DOCUMENTS), the least
+    by a hash of the id, and each document its first FIT_CHARS characters.
+    """
+    known = docs.select("doc_id", named(lang).alias("lang"), named(text).alias("text"))
     usable = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # first in each of 64 shares of a language, then in the language: no task reads more than 64 samples
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = usable.select("doc_id", "lang").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))
-    for by in (("lang", "share"), ("lang",)):
-        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= sample)
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_lang").limit(sample * LANGUAGES)
-    rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("doc_id", "lang", "text")
-    by: dict[str, list[bytes]] = {}
-    for r in sorted(map(tuple, rows.toLocalIterator())):
-        by.setdefault(r[1], []).extend(p for w in r[2].split() if any(map(str.isalpha, w)) for p in pieces(w))
-    by = {k: v for k, v in by.items() if v}
-    if not by:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return None
+    each = max(1, min(sample, DOCUMENTS // len(sizes)))
+    # twice as many as are wanted pass by their hash, so that no language has to be sorted; the rest is cut here
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * (each + 20) / r.n)) for r in sizes], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = usable.join(F.broadcast(share), "lang").where(place < F.col("share"))
+    # of several texts under one id and language one teaches
+    rows = rows.groupBy("lang", "doc_id").agg(F.min(F.left("text", F.lit(FIT_CHARS))).alias("text"))
+    by: dict[str, list[tuple]] = {}
+    for r in rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").toLocalIterator():
+        by.setdefault(r.lang, []).append((r.h % (1 << 30), r.doc_id, r.text))
+    parts = {k: [p for _, _, t in sorted(v)[:each] for w in t.split() if any(map(str.isalpha, w)) for p in pieces(w)] for k, v in by.items()}
+    parts = {k: v for k, v in parts.items() if v}
+    if not parts:
         return None
-    network = Network(sorted(by))
-    network.train([by[k] for k in network.languages], steps)
+    network = Network(sorted(parts))
+    network.train([parts[k] for k in network.languages], steps)
     return network
 
 
@@ -269,7 +278,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
             languages, scores = reader.predict([raw[x:y].decode() for x, y in zip(b[:-1], b[1:])])
             yield {"doc_id": batch.column("doc_id")[first:last], "lang_pred": languages, "score": scores}
 
-    return map_batches(docs.select("doc_id", F.col(text).alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", named(text).alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def label_positions(text: str, network: Network) -> list[str]:

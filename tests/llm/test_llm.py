@@ -413,6 +413,14 @@ def test_language_of_held_out_rows(spark, hard):
     assert len(labels) == len("The thing,  été".encode()) and [k for k, x in enumerate(labels) if not x] == [3, 10, 11]
 
 
+def test_every_language_teaches(spark):
+    """More languages than fit in full: none is left out by a hash."""
+    rows = [(i, chr(97 + i % 26) * 3 + chr(97 + i // 26 % 3) + " x", f"l{i % 70:02d}") for i in range(1400)]
+    docs = spark.createDataFrame(rows + [rows[0], (0, None, "l00"), (1, "z", None)], "doc_id long, text string, lang string")
+    net = langid.learn(docs, sample=5, steps=1)
+    assert net.languages == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1})
+
+
 # ------------------------------------------------------------------ top k
 
 def brute_top(vectors, queries, k=10):
