@@ -275,13 +275,21 @@ def held_out(doc_id) -> "F.Column":
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names, or the one set on the context."""
+    """The shared folder that spark.checkpoint.dir names, or the one set on the context.
+
+    Where neither is set, a local session gets a folder of its own; a cluster has to name one.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder and not context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context._jsc.sc().getCheckpointDir().get()
-    if not folder:
+    if not folder and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="plinth-checkpoint-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, htmltext, langid, packing, ranking, rules, simhash, substring, topk, urllists
 from .common import held_out, table
+from .hosts import host_of
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,50 +56,63 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
-#: The dated list of the query: day, action, domain, category.
-LIST_EVENTS = [
-    ("2024-01-01", "add", "spam-farm.example.org", "spam"),
-    ("2024-01-15", "add", "cheap-pills.example.com", "pharma"),
-    ("2024-02-01", "add", "example.net", "parked"),
-    ("2024-03-01", "remove", "example.net", None),
-    ("2024-03-10", "remove", "spam-farm.example.org", None),
-    ("2024-04-01", "add", "tionsh.example.net", "mirror"),
-    ("2024-05-05", "add", "spam-farm.example.org", "malware"),
-    ("2024-06-01", "add", "ththan.example.net", "scraper"),
-    ("2024-06-01", "add", "blog.tionble.example.com", "copied"),
-    ("2024-07-01", "add", "cheap-pills.example.com", "fraud"),
-    ("2024-08-01", "remove", "blog.tionble.example.com", None),
-    ("2024-09-01", "add", "example.org", "quarantine"),
-    ("2024-09-20", "remove", "example.org", None),
-    ("2024-10-01", "remove", "tionsh.example.net", None),
-    ("2024-11-11", "remove", "never-listed.example.com", None),
-]
+def list_events(pages: DataFrame) -> DataFrame:
+    """The dated list of the query: day, seq, action, domain, category, for every host of the pages and every domain above one.
+
+    The table has no list, so days and categories are arithmetic on the ids of a
+    domain's pages: added, removed, and renewed twice on one day with a change of category.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("host"), "page_id").where("host is not null")
+    above = hosts.select(F.regexp_replace("host", r"^[^.]*\.", "").alias("domain"), "page_id", "host").where("domain <> host and domain <> ''")
+    sums = [F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count("*").alias("n")]
+    day = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int"))
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    event = lambda at, seq, action, category: F.struct(day(at).alias("day"), F.lit(seq).alias("seq"), F.lit(action).alias("action"), category.cast("string").alias("category"))
+    none = F.lit(None)
+    own = [
+        event(F.pmod(a * 7, F.lit(366)), 0, "add", F.concat(F.lit("c"), F.pmod(a, F.lit(5)))), event(F.pmod(a * 7, F.lit(366)) + 40, 1, "remove", none),
+        event(F.pmod(b * 13, F.lit(366)), 2, "add", F.concat(F.lit("d"), F.pmod(n, F.lit(3)))), event(F.pmod(b * 13, F.lit(366)), 3, "add", F.lit("e")),
+    ]
+    shared = [event(F.pmod(a * 3, F.lit(366)), 4, "add", F.lit("parent")), event(F.pmod(b * 5, F.lit(366)), 5, "remove", none)]
+    each = lambda rows, events: rows.select("domain", F.explode(F.array(*events)).alias("e")).select("domain", "e.*")
+    return each(hosts.groupBy(F.col("host").alias("domain")).agg(*sums), own).unionByName(each(above.groupBy("domain").agg(*sums), shared))
 
 
 def op6_url_temporal(spark: SparkSession, folder: str) -> DataFrame:
     """Captures are the pages, fetched on day page_id mod 366 of 2024 (the table has no time of its own)."""
     pages = table(spark, folder, "pages")
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
-    rows = [(a, k, b, c, d) for k, (a, b, c, d) in enumerate(LIST_EVENTS)]
-    events = spark.createDataFrame(rows, "day string, seq int, action string, domain string, category string").withColumn("day", F.col("day").cast("date"))
-    return urllists.evaluate(pages.withColumn("day", day), events)
-
-
-def _op6_sql() -> str:
-    quote = lambda x: "NULL" if x is None else f"'{x}'"
-    values = ", ".join(f"(DATE '{a}', {k}, '{b}', '{c}', {quote(d)})" for k, (a, b, c, d) in enumerate(LIST_EVENTS))
-    return rf"""
-WITH events(day, seq, action, domain, category) AS (VALUES {values}),
-i AS (
-  SELECT domain, action, category, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day, seq) AS valid_to FROM events
-), p AS (
+    return urllists.evaluate(pages.withColumn("day", day), list_events(pages))
+
+
+OP6_SQL = r"""
+WITH p AS (
   SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day,
          nullif(regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1)), '\.+$', ''), '') AS host
   FROM pages
+), h AS (
+  SELECT host AS domain, min(page_id) AS a, max(page_id) AS b, count(*) AS n FROM p WHERE host IS NOT NULL GROUP BY 1
+), u AS (
+  SELECT domain, min(page_id) AS a, max(page_id) AS b
+  FROM (SELECT regexp_replace(host, '^[^.]*\.', '') AS domain, host, page_id FROM p) WHERE domain <> host AND domain <> '' GROUP BY 1
+), events AS (
+  SELECT domain, a * 7 % 366 AS d, 0 AS seq, 'add' AS action, concat('c', a % 5) AS category FROM h
+  UNION ALL SELECT domain, a * 7 % 366 + 40, 1, 'remove', NULL FROM h
+  UNION ALL SELECT domain, b * 13 % 366, 2, 'add', concat('d', n % 3) FROM h
+  UNION ALL SELECT domain, b * 13 % 366, 3, 'add', 'e' FROM h
+  UNION ALL SELECT domain, a * 3 % 366, 4, 'add', 'parent' FROM u
+  UNION ALL SELECT domain, b * 5 % 366, 5, 'remove', NULL FROM u
+), i AS (
+  SELECT domain, action, category, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS valid_from,
+         CAST(DATE '2024-01-01' + CAST(lead(d) OVER (PARTITION BY domain ORDER BY d, seq) AS INTEGER) AS DATE) AS valid_to
+  FROM events
+), labels_of AS (
+  SELECT page_id, host, day, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM p WHERE host IS NOT NULL
+), asked AS (
+  SELECT page_id, day, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS domain FROM labels_of
 ), m AS (
-  SELECT p.page_id, i.domain, i.category, i.valid_from, row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.domain) DESC) AS r, count(*) OVER (PARTITION BY p.page_id) AS n
-  FROM p JOIN i ON i.action = 'add' AND (p.host = i.domain OR ends_with(p.host, '.' || i.domain))
-   AND i.valid_from <= p.day AND (i.valid_to IS NULL OR p.day < i.valid_to)
+  SELECT q.page_id, i.domain, i.category, i.valid_from, row_number() OVER (PARTITION BY q.page_id ORDER BY length(i.domain) DESC) AS r, count(*) OVER (PARTITION BY q.page_id) AS n
+  FROM asked q JOIN i ON i.action = 'add' AND q.domain = i.domain AND i.valid_from <= q.day AND (i.valid_to IS NULL OR q.day < i.valid_to)
 )
 SELECT p.page_id, p.host, p.day, m.n IS NOT NULL AS blocked, CAST(coalesce(m.n, 0) AS BIGINT) AS n_active,
        m.domain AS listed_domain, m.category, m.valid_from AS listed_from
@@ -145,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL and are tested against brute force in tests/llm."""
-    return {"op5_exact_topk": OP5_SQL, "op6_url_temporal": _op6_sql()}
+    return {"op5_exact_topk": OP5_SQL, "op6_url_temporal": OP6_SQL}

@@ -489,6 +489,16 @@ def test_temporal_lists(spark):
     assert urllists.evaluate(captures, events.where("false")).where("blocked").count() == 0 and urllists.evaluate(captures.where("false"), events).count() == 0
 
 
+def test_list_of_the_pages(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    events = registry.list_events(pages)
+    spans = urllists.intervals(events)
+    assert events.select("domain").distinct().count() > 10 and spans.groupBy("domain").count().where("count > 1").count() > 5
+    assert spans.where("valid_to <= valid_from").count() == 0 and spans.where("category like 'd%'").count() == 0  # changed on the same day
+    verdicts = registry.op6_url_temporal(spark, FOLDER)
+    assert verdicts.count() == pages.count() and 0 < verdicts.where("blocked").count() < pages.count()
+
+
 @pytest.mark.parametrize("name", ["op5_exact_topk", "op6_url_temporal"])
 def test_same_as_sql(spark, name):
     import duckdb
