@@ -8,10 +8,12 @@ operators' docstrings say.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm import packing, ranking, rules, simhash, substring
-from plinth.llm.common import cut, table
+from plinth.llm.common import checkpoint_folder, table
 from plinth.llm.registry import tokenizer_path
 
 
@@ -69,11 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df as Parquet in the shared checkpoint folder, read again."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return cut(df)
-    path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
