@@ -99,10 +99,15 @@ def closure(edges: DataFrame, starts: DataFrame, source: str = "source_id", targ
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that spark.checkpoint.dir names; a local one only where there is none."""
+    """Checkpointed in the folder that spark.checkpoint.dir names.
+
+    Where none is named, a local session gets one of its own; a cluster has to name one.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not folder:
             import tempfile
 
