@@ -39,9 +39,9 @@ def test_triples():
 def test_elements_are_in_document_order(spark, built):
     rows = of(built.elements, "INDOOR").orderBy("eid").collect()
     assert [r.eid for r in rows] == list(range(len(rows)))
-    door = next(r for r in rows if r.tag == "Door")
-    assert [a.tag for a in door.anc] == ["CityModel", "cityObjectMember", "Building", "interiorRoom", "Room", "boundedBy", "WallSurface", "opening"]
-    assert door.parent_eid == door.anc[-1].eid and rows[0].end_eid == len(rows) - 1
+    window = next(r for r in rows if r.tag == "Window")
+    assert [a.tag for a in window.anc] == ["CityModel", "cityObjectMember", "Building", "interiorRoom", "Room", "boundedBy", "RoofSurface", "opening"]
+    assert window.parent_eid == window.anc[-1].eid and rows[0].end_eid == len(rows) - 1
 
 
 def test_data_source_reads_the_same(spark, built):
@@ -51,25 +51,36 @@ def test_data_source_reads_the_same(spark, built):
 
 
 def test_indoor_document(built):
-    assert of(built.graph.nodes, "INDOOR").count() == 7
-    assert counts(of(built.graph.edges, "INDOOR"), "relation") == dict.fromkeys(["HAS_CITY_OBJECT", "INTERIOR_ROOM", "BOUNDED_BY", "HAS_SURFACE_TYPE", "HAS_OPENING", "CONNECTS", "INSIDE", "INTERIOR_FURNITURE"], 1)
-    got = props(built, "INDOOR", "F")
-    assert (got["class"], got["function"], got["usage"], got["class_code"]) == ("stool", ["sit"], ["kitchen"], "stool")
+    assert of(built.graph.nodes, "INDOOR").count() == 10  # eight objects, two surface types
+    once = ["HAS_CITY_OBJECT", "INTERIOR_ROOM", "HAS_OPENING", "CONNECTS"]
+    twice = ["BOUNDED_BY", "HAS_SURFACE_TYPE", "INSIDE", "INTERIOR_FURNITURE"]
+    assert counts(of(built.graph.edges, "INDOOR"), "relation") == dict.fromkeys(once, 1) | dict.fromkeys(twice, 2)
+    got = props(built, "INDOOR", "loom")
+    assert (got["class"], got["function"], got["usage"], got["class_code"]) == ("machine", ["weave", "spin"], ["cloth"], "machine")
 
 
 def test_spatial_document(built):
-    assert of(built.graph.nodes, "SPATIAL").count() == 40  # 9 objects, a surface type, 6 polygons, 6 rings of 3 positions
-    relations = counts(of(built.graph.edges, "SPATIAL"), "relation")
-    assert (relations["INTERSECTS"], relations["TOUCHES"], relations["ADJACENT_TO"]) == (2, 14, 4)
-    suite = importer.count_suite(type(built.graph)(of(built.graph.nodes, "SPATIAL"), of(built.graph.edges, "SPATIAL")))
-    assert list(suite.values()) == [1, 3, 0, 2, 3]
+    n = len(fixtures.WORKSHOP)
+    # member, building, room, a surface type; a polygon, a ring and four positions an object
+    assert of(built.graph.nodes, "SPATIAL").count() == n + 4 + 6 * n
+    want = fixtures.workshop_relations()
+    edges = of(built.graph.edges, "SPATIAL")
+    assert {(r.source_id, r.target_id): r.relation for r in edges.where(edges.relation.isin(*schema.SPATIAL)).collect()} == want
+    assert set(want.values()) == set(schema.SPATIAL) and not any("cart" in pair for pair in want)
+    kind = {k: v[0] for k, v in fixtures.WORKSHOP.items()}
+    number = lambda relation, targets: sum(r == relation and kind[a] == "BuildingFurniture" and kind[b] in targets for (a, b), r in want.items())
+    opening = ("Door", "Window")
+    touching = {a for (a, b), r in want.items() if r == "TOUCHES" and kind[a] == "BuildingFurniture" and kind[b] in opening}
+    suite = importer.count_suite(type(built.graph)(of(built.graph.nodes, "SPATIAL"), edges))
+    assert list(suite.values()) == [number("INTERSECTS", ("BuildingFurniture",)) // 2, number("TOUCHES", opening), number("ADJACENT_TO", ("WallSurface",)), 2, len(touching)]
+    assert min(suite["q1_furniture_furniture_intersects"], suite["q2_furniture_opening_touches"]) > 0
 
 
 def test_mixed_document(built):
     got = props(built, "MIXED", "building_1")
     assert got["gml_name"] == "Mill" and got["gml_name_all"] == ["Mill", "Old mill"] and got["lod"] == "LoD2solid"
-    assert got["attr_ground_area"] == 120.0 and got["attr_ground_area_uom"] == "m2" and got["attr_levels"] == "three"
-    assert got["year_of_construction"] == 1890 and got["measured_height"] == 6.52 and got["measured_height_uom"] == "m"
+    assert got["attr_floor_space"] == 73.25 and got["attr_floor_space_uom"] == "m2" and got["attr_levels"] == "three"
+    assert got["year_of_construction"] == 1890 and got["measured_height"] == 11.4 and got["measured_height_uom"] == "m"
     assert props(built, "MIXED", "address_1")["address_locality"] == "Ghent"
     implicit = props(built, "MIXED", "implicit_geometry:implicitgeometry_1")
     assert implicit["transformation_matrix"] == "1 0 0 1" and implicit["relative_geometry_href"] == "#S" and implicit["reference_point"] == [5.0, 6.0, 7.0] and implicit["lod"] == "LoD1"
@@ -90,20 +101,22 @@ def test_scorecard(built):
     cards = {r.doc_id.rsplit("/", 1)[1]: r for r in score.scorecard(built).collect()}
     assert cards["INDOOR.gml"].overall == 100.0 and cards["INDOOR.gml"].spatial_coverage == 100.0
     card = cards["SPATIAL.gml"]
-    assert (card.expected, card.inferred, card.spatial_coverage, card.spatial_sanity) == (24, 20, 83.33, 100.0)
+    # five pieces of furniture, two walls, two openings: both ways
+    expected, inferred = 5 * 2 * 2 + 5 * 2 * 2 + 5 * 4, len(fixtures.workshop_relations())
+    assert (card.expected, card.inferred, card.spatial_coverage, card.spatial_sanity) == (expected, inferred, round(100 * inferred / expected, 2), 100.0)
     assert cards["MIXED.gml"].node_score == 100.0
 
 
 def test_breakdown_and_coverage(built):
     rows = {r.building.rsplit("/", 1)[1]: r for r in score.building_breakdown(built).collect()}
-    assert rows["INDOOR.gml\x1fB"].BuildingFurniture == 1 and rows["SPATIAL.gml\x1fB"].Opening == 2
+    assert rows["INDOOR.gml\x1fmill"].BuildingFurniture == 2 and rows["SPATIAL.gml\x1fyard"].Opening == 2
     assert [r.coverage for r in score.appearance_coverage(built).collect()] == [100.0]
 
 
 def test_run_and_store(spark, built, tmp_path):
     status, summary = importer.run_import(spark, f"{built.folder}/INDOOR.gml", f"{tmp_path}/out", store=f"{tmp_path}/store")
-    assert status == 0 and summary["node_count"] == 7 and summary["edge_count"] == 8 and "overall 100.00" in importer.report(summary)
+    assert status == 0 and summary["node_count"] == 10 and summary["edge_count"] == 12 and "overall 100.00" in importer.report(summary)
     store = GraphStore(spark, f"{tmp_path}/store")
     again = store.save(store.load())
-    assert again == {"node_count": 7, "edge_count": 8}
+    assert again == {"node_count": 10, "edge_count": 12}
     assert importer.run_import(spark, f"{tmp_path}/absent.gml", f"{tmp_path}/out")[0] == 2

@@ -69,7 +69,7 @@ def test_stream_into_a_store(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/progress").awaitTermination()
     g = GraphStore(spark, f"{tmp_path}/store").load()
-    assert g.nodes.count() == 7 and g.edges.count() == 8 and repeated_ids(g.nodes).count() == 0
+    assert g.nodes.count() == 10 and g.edges.count() == 12 and repeated_ids(g.nodes).count() == 0
     assert importer.count_one(g, "q4_opening_connects_room") == 1
     assert cli.main(["benchmark", "--store", f"{tmp_path}/store", "--repeat", "1", "--warmup", "0", "--output", f"{tmp_path}/b.json"]) == 0
     assert json.loads((tmp_path / "b.json").read_text())["queries"]["q4_opening_connects_room"]["count"] == 1
