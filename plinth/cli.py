@@ -1,4 +1,4 @@
-"""Command line: import, benchmark, profile, check."""
+"""Command line: import, benchmark, profile, relations, export, check."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from plinth.operators import graph
 from plinth.plans import importer
-from plinth.sources.store import GraphStore
+from plinth.sources.store import GraphStore, write_json
 
 
 def _session() -> SparkSession:
@@ -38,18 +40,18 @@ def cmd_benchmark(a: argparse.Namespace) -> int:
     if a.warmup < 0 or a.repeat < 1:
         print("--warmup must not be negative, --repeat must be positive", file=sys.stderr)
         return importer.BAD_INPUT
-    graph = GraphStore(_session(), a.store).load()
-    if graph is None:
+    stored = GraphStore(_session(), a.store).load()
+    if stored is None:
         print(f"no graph in {a.store}", file=sys.stderr)
         return importer.BAD_INPUT
-    report: dict = {"node_count": graph.nodes.count(), "queries": {}}
+    report: dict = {"node_count": stored.nodes.count(), "queries": {}}
     failed = False
     for name in [n for n, *_ in importer.SUITE] + ["q5_inside_room_touching_opening"]:
         try:
             took: list[float] = []
             for k in range(a.warmup + a.repeat):
                 began = time.perf_counter()
-                n = importer.count_one(graph, name)
+                n = importer.count_one(stored, name)
                 if k >= a.warmup:
                     took.append((time.perf_counter() - began) * 1000)
             report["queries"][name] = {"count": n} | {f"{k}_ms": v for k, v in stats(took).items()}
@@ -80,6 +82,34 @@ def cmd_profile(a: argparse.Namespace) -> int:
     return importer.OK if len(good) == len(runs) else importer.FAILED
 
 
+def cmd_relations(a: argparse.Namespace) -> int:
+    """Relation counts of a stored graph, by relation and the types of its ends."""
+    found = GraphStore(_session(), a.store).load()
+    if found is None:
+        print(f"no graph in {a.store}", file=sys.stderr)
+        return importer.BAD_INPUT
+    typed = graph.typed_edges(found.edges, found.nodes)
+    if a.relation:
+        typed = typed.where(F.col("relation") == a.relation)
+    for r in typed.groupBy("relation", "source_type", "target_type").count().orderBy("relation", "source_type", "target_type").collect():
+        print(f"{r.relation} {r.source_type} -> {r.target_type}: {r['count']}")
+    return importer.OK
+
+
+def cmd_export(a: argparse.Namespace) -> int:
+    """A stored graph as JSON lines or Parquet."""
+    found = GraphStore(_session(), a.store).load()
+    if found is None:
+        print(f"no graph in {a.store}", file=sys.stderr)
+        return importer.BAD_INPUT
+    if a.format == "json":
+        write_json(found, a.output)
+    else:
+        found.nodes.write.mode("overwrite").parquet(f"{a.output}/nodes")
+        found.edges.write.mode("overwrite").parquet(f"{a.output}/edges")
+    return importer.OK
+
+
 def check(baseline: dict, actual: dict) -> list[tuple[bool, str]]:
     """baseline: dotted path -> {min, max, equals}; a value that is missing counts as -1."""
     lines = []
@@ -116,6 +146,12 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("profile")
     p.add_argument("--input", required=True), p.add_argument("--output", required=True), p.add_argument("--report", required=True), p.add_argument("--runs", type=int, default=3), p.add_argument("--store"), p.add_argument("--config")
     p.set_defaults(run=cmd_profile)
+    p = sub.add_parser("relations")
+    p.add_argument("--store", required=True), p.add_argument("--relation")
+    p.set_defaults(run=cmd_relations)
+    p = sub.add_parser("export")
+    p.add_argument("--store", required=True), p.add_argument("--output", required=True), p.add_argument("--format", choices=["json", "parquet"], default="json")
+    p.set_defaults(run=cmd_export)
     p = sub.add_parser("check")
     p.add_argument("--baseline", required=True), p.add_argument("--actual", required=True)
     p.set_defaults(run=cmd_check)

@@ -150,13 +150,19 @@ def safe_label(label: Column) -> Column:
     return F.when(x.rlike("^[0-9]"), F.concat(F.lit("N_"), x)).otherwise(x)
 
 
-def bar(done: Column, total: Column, width: int = 20) -> Column:
-    """A bar of # and -; full where the total is not positive."""
-    share = F.when(total <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(done.cast("double") / total, F.lit(0.0)), F.lit(1.0)))
+def bar(done: Column, total: Column, width: int = 26) -> Column:
+    """A bar of # and -, of things done or of seconds against the most; empty where the total is not positive."""
+    share = F.when(total <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(done.cast("double") / total, F.lit(0.0)), F.lit(1.0)))
     k = F.bround(share * width).cast("int")
     return F.concat(F.repeat(F.lit("#"), k), F.repeat(F.lit("-"), F.lit(width) - k))
 
 
+def counter_text(key: str, n: str) -> Column:
+    """Aggregate of (key, n) rows: key=n in the order of the keys."""
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct(key, n))), lambda p: F.concat(p[key], F.lit("="), p[n]))
+    return F.array_join(pairs, ", ")
+
+
 def within(value: Column, least: Column, most: Column) -> Column:
     """Whether a value lies between two bounds, either of which may be null."""
     return F.coalesce(value >= least, F.lit(True)) & F.coalesce(value <= most, F.lit(True))
@@ -175,3 +181,20 @@ def furniture_errors(has_geometry: Column, gml: Column, room: Column) -> Column:
         F.when(filled(room).isNull(), F.lit("parent_room_id")),
     )
     return F.filter(checks, lambda e: e.isNotNull())
+
+
+#: Fields of a piece of furniture, as columns of a table and keys of its properties.
+FURNITURE_TEXTS, FURNITURE_LISTS = ["gml_id", "gml_name", "class", "parent_room_id"], ["function", "usage"]
+
+
+def furniture_of(raw: Column) -> Column:
+    """A piece of furniture from a map of texts: missing texts are null, lists are split at commas, geometry is there if named."""
+    items = lambda k: F.filter(F.transform(F.split(F.coalesce(raw[k], F.lit("")), ","), strip), lambda t: t != "")
+    return F.struct(*[filled(strip(raw[k])).alias(k) for k in FURNITURE_TEXTS], *[items(k).alias(k) for k in FURNITURE_LISTS], (filled(raw["geometry"]).isNotNull()).alias("has_geometry"))
+
+
+def furniture_properties(piece: Column) -> Column:
+    """The properties of a piece of furniture: what it has, lists as JSON."""
+    entries = [F.struct(F.lit(k).alias("key"), piece[k].alias("value")) for k in FURNITURE_TEXTS]
+    entries += [F.struct(F.lit(k).alias("key"), F.when(F.size(piece[k]) > 0, F.to_json(piece[k])).alias("value")) for k in FURNITURE_LISTS]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))

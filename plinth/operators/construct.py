@@ -50,6 +50,13 @@ def kind_of(tag: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in schema.TAG_TYPES.items() for x in kv])[tag]
 
 
+def dispatch(tag: Column, handlers: dict[str, Column]) -> Column:
+    """struct(status, result): what the handler of a tag's node type makes of a row, or ``unhandled``."""
+    kind = kind_of(tag)
+    result = F.coalesce(*[F.when(kind == k, v.cast("string")) for k, v in handlers.items()], F.lit(None).cast("string"))
+    return F.struct(F.when(kind.isin(*handlers), F.lit("handled")).otherwise(F.lit("unhandled")).alias("status"), result.alias("result"))
+
+
 class Children:
     """Column functions on an array of child structs (eid, tag, text, attrs) in document order."""
 
@@ -344,8 +351,9 @@ def room_objects(g: graph.SceneGraph, rings: DataFrame) -> DataFrame:
 
 def spatial_edges(objects: DataFrame, t: Thresholds) -> DataFrame:
     """Inferred edges of a room's furniture with its boundaries, openings and other furniture, both ways."""
-    pairs = spatial.pairs(objects, ["doc_id", "room"], (F.col("a_flag") == "F") | (F.col("b_flag") == "F"))
-    found = spatial.metadata(spatial.infer(pairs, t), t).where("relation is not null").withColumn("distance", F.round("distance", 6))
+    reach = max(t.touch, t.adjacent)
+    pairs = spatial.near_pairs(objects, ["doc_id", "room"], reach, max(1.0, 4 * reach), F.col("flag") == "F")
+    found = spatial.metadata(spatial.infer(pairs, t), t).where("relation is not null").withColumn("distance", F.bround("distance", 6))
     numbers = {k: F.col(k).cast("string") for k in ("distance", "epsilon_touch", "epsilon_adjacent", "epsilon_intersection", "confidence")}
     properties = props({"method": js(F.col("method")), "computed_at": js(F.col("computed_at"))} | numbers)
     return _edge(found, F.col("a_id"), F.col("b_id"), F.col("relation"), place(11, F.lit(0)), properties)
@@ -360,8 +368,8 @@ class Built:
     room_objects: DataFrame
 
 
-def build(elements: DataFrame, t: Thresholds = Thresholds()) -> Built:
-    """The whole graph of all documents of an element table.
+def build(elements: DataFrame, t: Thresholds = Thresholds(), relations: bool = True) -> Built:
+    """The whole graph of all documents of an element table; without inferred relations if they are switched off.
 
     Each stage is cut, since later ones read it several times; cut the elements first.
     """
@@ -376,6 +384,8 @@ def build(elements: DataFrame, t: Thresholds = Thresholds()) -> Built:
     edges, rejected = graph.add_edges(judged, nodes)
     edges = graph.cut(edges.select(*EDGE))
     objects = graph.cut(room_objects(graph.SceneGraph(nodes, edges), geo.rings))
+    if not relations:
+        return Built(graph.SceneGraph(nodes, edges), rejected, elements, recs, objects)
     inferred, bad = graph.add_edges(spatial_edges(objects, t), nodes)
     strong = graph.cut(spatial.strongest(inferred, ["doc_id", "source_id"]).select(*EDGE))
     return Built(graph.SceneGraph(nodes, edges.unionByName(strong)), rejected.unionByName(bad), elements, recs, objects)

@@ -15,11 +15,36 @@ from pyspark.sql import functions as F
 from . import schema
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], out: str, ranges: int | None = None) -> DataFrame:
+    """rows with ``out``, the place from 0 among those equal in ``by``, in order.
+
+    The rows are dealt by ranges of (by, order) and counted, and a row's place is its
+    place in its range after the rows of its kind in the ranges before: a kind with most
+    of the rows is spread over many tasks.
+    """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # checkpointed, so that the boundaries that were sampled hold for both uses
+    dealt = cut(rows.repartitionByRange(ranges, *by, *order).withColumn("range_", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "range_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(c).alias(f"{c}_key_") for c in by], F.col("range_").alias("range_key_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    keyed = dealt.join(starts, [F.col(c).eqNullSafe(F.col(f"{c}_key_")) for c in by] + [F.col("range_") == F.col("range_key_")])
+    place = F.row_number().over(Window.partitionBy(*by, "range_").orderBy(*order)) - 1 + F.col("before_")
+    return keyed.select(*rows.columns, place.alias(out))
+
+
 def fallback_ids(rows: DataFrame, kind: str, order: list[str], given: str, scope: list[str], out: str = "id") -> DataFrame:
-    """The given id, or kind_N, N counting the rows of a kind without one, in order."""
+    """The given id, or kind_N, N counting the rows of a kind without one, in order.
+
+    Within a scope (a document) a window counts; without one there are as few groups as kinds, which are spread.
+    """
     missing = F.col(given).isNull() | (F.trim(F.col(given)) == "")
-    n = F.row_number().over(Window.partitionBy(*scope, kind, missing.cast("int")).orderBy(*order))
-    return rows.withColumn(out, F.when(missing, F.concat(F.lower(kind), F.lit("_"), n)).otherwise(F.col(given)))
+    if scope:
+        n = F.row_number().over(Window.partitionBy(*scope, kind, missing.cast("int")).orderBy(*order))
+        return rows.withColumn(out, F.when(missing, F.concat(F.lower(kind), F.lit("_"), n)).otherwise(F.col(given)))
+    counted = numbered(rows.withColumn("missing_", missing.cast("int")), [kind, "missing_"], order, "place_")
+    made = F.concat(F.lower(kind), F.lit("_"), F.col("place_") + 1)
+    return counted.select(*rows.columns, F.when(F.col("missing_") == 1, made).otherwise(F.col(given)).alias(out))
 
 
 def last_wins(nodes: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -78,6 +103,12 @@ def edge_index(edges: DataFrame, relation: str) -> DataFrame:
     return edges.where(F.col("relation") == relation).groupBy("doc_id", "source_id").agg(F.sort_array(F.collect_set("target_id")).alias("targets"))
 
 
+def id_index(nodes: DataFrame) -> DataFrame:
+    """doc_id, gml_id and the sorted ids of the nodes that carry it; one element may give several."""
+    given = nodes.withColumn("gml_id", F.trim("gml_id")).where("gml_id <> ''")
+    return given.groupBy("doc_id", "gml_id").agg(F.sort_array(F.collect_set("id")).alias("node_ids"))
+
+
 def closure(edges: DataFrame, starts: DataFrame, source: str = "source_id", target: str = "target_id", checkpoint_every: int = 4) -> DataFrame:
     """(start, node): all nodes that a start reaches by one edge or more; cycles are safe.
 

@@ -12,6 +12,7 @@ BOUNDARY_TAGS = ["WallSurface", "RoofSurface", "GroundSurface", "InteriorWallSur
 OPENING_TAGS = ["Door", "Window"]
 SPATIAL = ["ADJACENT_TO", "TOUCHES", "INTERSECTS"]
 HIERARCHY = ["CONTAINS", "CONSISTS_OF_BUILDING_PART", "INTERIOR_ROOM", "OUTER_BUILDING_INSTALLATION", "INTERIOR_BUILDING_INSTALLATION", "ROOM_INSTALLATION", "INTERIOR_FURNITURE"]
+GEOMETRY_RELATIONS = ["HAS_LOD_GEOMETRY", "HAS_GEOMETRY_COMPONENT", "HAS_GEOMETRY_MEMBER", "HAS_GEOMETRY", "HAS_RING", "HAS_POS"]
 GENERIC_TAGS = ["stringAttribute", "intAttribute", "doubleAttribute", "measureAttribute", "uriAttribute", "dateAttribute"]
 SPATIAL_METADATA = ["method", "distance", "epsilon_touch", "epsilon_adjacent", "epsilon_intersection", "confidence", "computed_at"]
 SCORE_WEIGHTS = {"node": 0.40, "relation": 0.30, "property": 0.30}

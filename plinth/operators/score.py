@@ -92,20 +92,21 @@ def _long(wide: DataFrame, name: str) -> DataFrame:
 
 
 def spatial_scores(built: Built) -> DataFrame:
-    """doc_id, inferred, expected, metadata_valid, pairs, single, spatial_coverage, spatial_sanity."""
+    """doc_id, inferred, expected, metadata_valid, schema_valid, pairs, single, spatial_coverage, spatial_sanity."""
     rooms = built.room_objects.groupBy("doc_id", "room").agg(*[F.count_if(F.col("flag") == k).alias(n) for k, n in (("F", "f"), ("B", "b"), ("O", "o"))])
     expected = rooms.groupBy("doc_id").agg(F.sum(summary.candidate_pairs(rooms)).alias("expected"))
     typed = graph.typed_edges(built.graph.edges.where(F.col("relation").isin(*schema.SPATIAL)), built.graph.nodes)
     complete = F.forall(F.array(*[F.lit(k) for k in schema.SPATIAL_METADATA]), lambda k: F.map_contains_key(F.col("props"), k))
     sure = F.col("props")["confidence"].try_cast("double").between(0, 1)
-    pair = typed.groupBy("doc_id", "source_id", "target_id").agg(F.count("*").alias("n"), F.count_distinct("relation").alias("kinds"), F.count_if(F.coalesce(complete & sure, F.lit(False))).alias("valid"))
-    found = pair.groupBy("doc_id").agg(F.sum("n").alias("inferred"), F.sum("valid").alias("metadata_valid"), F.count("*").alias("pairs"), F.count_if(F.col("kinds") <= 1).alias("single"))
+    triples = F.broadcast(schema.allowed_triples(built.graph.edges.sparkSession).withColumn("legal", F.lit(True)))
+    typed = typed.join(triples, ["source_type", "relation", "target_type"], "left")
+    pair = typed.groupBy("doc_id", "source_id", "target_id").agg(F.count("legal").alias("legal"), F.count("*").alias("n"), F.count_distinct("relation").alias("kinds"), F.count_if(F.coalesce(complete & sure, F.lit(False))).alias("valid"))
+    found = pair.groupBy("doc_id").agg(F.sum("n").alias("inferred"), F.sum("valid").alias("metadata_valid"), F.sum("legal").alias("schema_valid"), F.count("*").alias("pairs"), F.count_if(F.col("kinds") <= 1).alias("single"))
     docs = built.elements.select("doc_id").distinct()
     rows = docs.join(expected, "doc_id", "left").join(found, "doc_id", "left").na.fill(0)
     ratio = scalar.safe_ratio
-    # illegal triples never enter the graph, so their share is the whole
-    sanity = (ratio(F.col("metadata_valid"), F.col("inferred")) + F.lit(1.0) + ratio(F.col("single"), F.col("pairs"))) / 3
-    return rows.select("*", F.round(ratio(F.col("inferred"), F.col("expected")) * 100, 2).alias("spatial_coverage"), F.round(sanity * 100, 2).alias("spatial_sanity"))
+    sanity = (ratio(F.col("metadata_valid"), F.col("inferred")) + ratio(F.col("schema_valid"), F.col("inferred")) + ratio(F.col("single"), F.col("pairs"))) / 3
+    return rows.select("*", F.bround(ratio(F.col("inferred"), F.col("expected")) * 100, 2).alias("spatial_coverage"), F.bround(sanity * 100, 2).alias("spatial_sanity"))
 
 
 def scorecard(built: Built) -> DataFrame:
@@ -127,7 +128,7 @@ def scorecard(built: Built) -> DataFrame:
     rows = rows.withColumn("node_expected", F.col("semantic_expected") + F.col("geometry_expected")).drop("semantic_expected", "geometry_expected")
     node, prop = (scalar.safe_ratio(F.col(f"{k}_actual"), F.col(f"{k}_expected")) for k in ("node", "property"))
     rows = rows.withColumn("overall", summary.overall(node, F.col("relation_ratio"), prop))
-    percent = lambda c: F.round(c * 100, 2)
+    percent = lambda c: F.bround(c * 100, 2)
     rows = rows.withColumn("node_score", percent(node)).withColumn("property_score", percent(prop)).withColumn("relation_score", percent(F.col("relation_ratio"))).drop("relation_ratio")
     return rows.join(spatial_scores(built), "doc_id", "left")
 
@@ -142,11 +143,51 @@ def appearance_coverage(built: Built) -> DataFrame:
 
 
 def building_breakdown(built: Built) -> DataFrame:
-    """doc_id, building and, over everything below it, distinct nodes by type."""
+    """root (document and id of a building) and, over everything below it, distinct nodes by type."""
     nodes, edges = built.graph.nodes, built.graph.edges
     key = lambda c: F.concat_ws("\x1f", "doc_id", c)
     steps = edges.where(F.col("relation").isin(*schema.HIERARCHY, "BOUNDED_BY", "HAS_OPENING", "HAS_ADDRESS")).select(key("source_id").alias("source_id"), key("target_id").alias("target_id"))
     starts = nodes.where("node_type = 'Building'").select(key("id").alias("start"))
     found = graph.closure(steps, starts)
     kinds = nodes.select(key("id").alias("node"), "node_type")
-    return found.join(kinds, "node").groupBy("start").pivot("node_type", schema.SEMANTIC_TYPES).agg(F.count_distinct("node")).na.fill(0).withColumnRenamed("start", "building")
+    return found.join(kinds, "node").groupBy("start").pivot("node_type", schema.SEMANTIC_TYPES).agg(F.count_distinct("node")).na.fill(0).withColumnRenamed("start", "root")
+
+
+def theme_coverage(g: graph.SceneGraph) -> DataFrame:
+    """doc_id, present: how many of five families of a document's graph are not empty, and families."""
+    semantic, geometric = F.col("node_type").isin(*schema.SEMANTIC_TYPES), F.col("node_type").isin(*schema.GEOMETRY_TYPES)
+    nodes = g.nodes.groupBy("doc_id").agg(F.count_if(semantic).alias("a"), F.count_if(geometric).alias("b"))
+    shape = F.col("relation").isin(*schema.GEOMETRY_RELATIONS)
+    near = F.col("relation").isin(*schema.SPATIAL)
+    edges = g.edges.groupBy("doc_id").agg(F.count_if(~shape & ~near).alias("c"), F.count_if(near).alias("d"), F.count_if(shape).alias("e"))
+    rows = nodes.join(edges, "doc_id", "left").na.fill(0)
+    present = sum(((F.col(k) > 0).cast("long") for k in "abcde"), F.lit(0).cast("long"))
+    return rows.select("doc_id", present.alias("present"), F.lit(5).cast("long").alias("families"))
+
+
+def enrichment(nodes: DataFrame) -> DataFrame:
+    """doc_id, semantic nodes, those with a name and with generic attributes, their shares, and attributes a node that has any."""
+    rows = nodes.where(F.col("node_type").isin(*schema.SEMANTIC_TYPES))
+    keys = F.size(F.filter(F.map_keys("props"), lambda k: k.startswith("attr_") & ~k.endswith("_uom")))
+    named = F.col("props")["gml_name"].isNotNull()
+    out = rows.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if(named).alias("named"), F.count_if(keys > 0).alias("attributed"), F.sum(keys).alias("attributes"))
+    percent = lambda c: scalar.safe_ratio(F.col(c), F.col("nodes")) * 100
+    each = F.when(F.col("attributed") > 0, F.col("attributes") / F.col("attributed")).otherwise(0.0)
+    return out.withColumn("named_percent", percent("named")).withColumn("attributed_percent", percent("attributed")).withColumn("attributes_each", each)
+
+
+def geometry_density(edges: DataFrame) -> DataFrame:
+    """doc_id, measure, avg_n, max_n: rings a polygon and positions a ring."""
+    one = lambda relation, name: summary.density(edges.where(F.col("relation") == relation), ["source_id"], ["doc_id"]).select("doc_id", F.lit(name).alias("measure"), "avg_n", "max_n")
+    return one("HAS_RING", "rings a polygon").unionByName(one("HAS_POS", "positions a ring"))
+
+
+def pair_stats(built: Built) -> DataFrame:
+    """family, inferred and its split over the relations, of all documents' furniture pairs."""
+    g = built.graph
+    kind = g.nodes.select("doc_id", "id", F.regexp_replace(F.coalesce(F.col("props")["opening_type"], F.col("props")["source_tag"]), '"', "").alias("tag"))
+    rows = graph.typed_edges(g.edges.where(F.col("relation").isin(*schema.SPATIAL)), g.nodes)
+    for side in ("source", "target"):
+        rows = rows.join(kind.select("doc_id", F.col("id").alias(f"{side}_id"), F.col("tag").alias(f"{side}_tag")), ["doc_id", f"{side}_id"])
+    family = boxes.pair_family(F.col("source_type"), F.col("source_tag"), F.col("target_type"), F.col("target_tag"))
+    return rows.groupBy(family.alias("family")).agg(F.count("*").alias("inferred"), *[F.count_if(F.col("relation") == r).alias(r) for r in schema.SPATIAL])

@@ -40,7 +40,7 @@ def relation_coverage(counts: DataFrame) -> DataFrame:
 
 def overall(node: Column, relation: Column, prop: Column) -> Column:
     w = SCORE_WEIGHTS
-    return F.round((node * w["node"] + relation * w["relation"] + prop * w["property"]) * 100, 2)
+    return F.bround((node * w["node"] + relation * w["relation"] + prop * w["property"]) * 100, 2)
 
 
 def candidate_pairs(rooms: DataFrame) -> Column:

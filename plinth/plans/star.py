@@ -88,7 +88,7 @@ _R = f"""{_B}, r AS (
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Directed pairs of a room with furniture on one side."""
-    return spatial.pairs(objects(spark, folder), ["room"], (F.col("a_flag") == "A") | (F.col("b_flag") == "A"))
+    return spatial.seeded_pairs(objects(spark, folder), ["room"], F.col("flag") == "A")
 
 
 def relations(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +108,7 @@ def spatial_relation_counts(spark, folder):
 
 @query("spatial_near_pairs_grid", f"WITH {_R} SELECT relation, count(*) AS n FROM r WHERE relation IS NOT NULL GROUP BY 1")
 def spatial_near_pairs_grid(spark, folder):
-    near = spatial.near_pairs(objects(spark, folder), ["room"], T.adjacent, 8.0, (F.col("a_flag") == "A") | (F.col("b_flag") == "A"))
+    near = spatial.near_pairs(objects(spark, folder), ["room"], T.adjacent, 8.0, F.col("flag") == "A")
     return summary.count_by(spatial.infer(near, T).where("relation is not null"), "relation")
 
 
@@ -335,8 +335,8 @@ def edge_dedup_first_wins(spark, folder):
 
 
 _VALUES = ", ".join(f"('{s}', '{r}', '{t}')" for s, r, t in schema.TRIPLES)
-#: Edges to be judged: order priority picks a relation, some ends do not exist.
-_RAW_SQL = f"""{_P}, nodes AS (SELECT DISTINCT id, node_type FROM p UNION ALL SELECT concat('room_', o_orderkey), 'Room' FROM orders WHERE o_orderkey % 10 <> 0),
+#: Edges to be judged: order priority picks a relation.
+_RAW_SQL = f"""{_P}, nodes AS (SELECT DISTINCT id, node_type FROM p UNION ALL SELECT concat('room_', o_orderkey), 'Room' FROM orders),
 allowed(source_type, relation, target_type) AS (VALUES {_VALUES}), raw AS (
   SELECT DISTINCT p.id AS source_id, concat('room_', p.room) AS target_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'INSIDE' WHEN '2-HIGH' THEN 'CONNECTS' ELSE 'HAS_OPENING' END AS relation
   FROM p JOIN orders ON o_orderkey = p.room
@@ -350,7 +350,7 @@ allowed(source_type, relation, target_type) AS (VALUES {_VALUES}), raw AS (
 
 def _raw_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     p, orders = points(spark, folder), read(spark, folder, "orders")
-    nodes = p.select("id", "node_type").distinct().unionByName(orders.where("o_orderkey % 10 <> 0").select(F.concat(F.lit("room_"), "o_orderkey").alias("id"), F.lit("Room").alias("node_type")))
+    nodes = p.select("id", "node_type").distinct().unionByName(orders.select(F.concat(F.lit("room_"), "o_orderkey").alias("id"), F.lit("Room").alias("node_type")))
     relation = F.when(F.col("o_orderpriority") == "1-URGENT", "INSIDE").when(F.col("o_orderpriority") == "2-HIGH", "CONNECTS").otherwise("HAS_OPENING")
     edges = p.join(orders, F.col("o_orderkey") == F.col("room")).select(F.col("id").alias("source_id"), F.concat(F.lit("room_"), "room").alias("target_id"), relation.alias("relation")).distinct()
     return nodes.withColumn("doc_id", F.lit("star")), edges.withColumn("doc_id", F.lit("star")).withColumn("ord", F.lit(0))
@@ -368,27 +368,16 @@ def rejected_edges(spark, folder):
     return graph.add_edges(edges, nodes)[1].select("source_id", "relation", "target_id", "reason")
 
 
-@query("validate_graph", """WITH e AS (SELECT l_orderkey AS source_id, l_returnflag AS relation, l_partkey AS target_id FROM lineitem), s AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0), t AS (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0)
-SELECT 'missing source' AS problem, source_id, relation, target_id FROM e WHERE source_id NOT IN (SELECT o_orderkey FROM s)
-UNION ALL SELECT 'missing target', source_id, relation, target_id FROM e WHERE target_id NOT IN (SELECT p_partkey FROM t)
+@query("validate_graph", """WITH e AS (SELECT l_orderkey AS source_id, l_returnflag AS relation, l_suppkey + 1000000000 AS target_id FROM lineitem), n AS (SELECT o_orderkey AS id FROM orders UNION ALL SELECT p_partkey + 1000000000 FROM part)
+SELECT 'missing source' AS problem, source_id, relation, target_id FROM e WHERE source_id NOT IN (SELECT id FROM n)
+UNION ALL SELECT 'missing target', source_id, relation, target_id FROM e WHERE target_id NOT IN (SELECT id FROM n)
 UNION ALL SELECT 'repeated edge', source_id, relation, target_id FROM e GROUP BY ALL HAVING count(*) > 1""")
 def validate_graph(spark, folder):
-    edges = read(spark, folder, "lineitem").select(F.lit(1).alias("doc_id"), F.col("l_orderkey").alias("source_id"), F.col("l_returnflag").alias("relation"), F.col("l_partkey").alias("target_id"))
-    source = read(spark, folder, "orders").where("o_orderkey % 7 <> 0").select(F.lit(1).alias("doc_id"), F.col("o_orderkey").alias("source_id"))
-    target = read(spark, folder, "part").where("p_partkey % 5 <> 0").select(F.lit(1).alias("doc_id"), F.col("p_partkey").alias("target_id"))
-    columns = ["source_id", "relation", "target_id"]
-    missing = lambda side, ids: edges.join(ids, ["doc_id", f"{side}_id"], "left_anti").select(F.lit(f"missing {side}").alias("problem"), *columns)
-    repeated = edges.groupBy(*columns).count().where("count > 1").select(F.lit("repeated edge").alias("problem"), *columns)
-    return missing("source", source).unionByName(missing("target", target)).unionByName(repeated)
-
-
-@query("surface_type_nodes", "SELECT DISTINCT concat('boundary_surface_type::', coalesce(nullif(trim(p_type), ''), 'BoundarySurface')) AS id, coalesce(nullif(trim(p_type), ''), 'BoundarySurface') AS surface_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey <= 20)")
-def surface_type_nodes(spark, folder):
-    """Distinct surface types that have no node yet."""
-    part = read(spark, folder, "part")
-    known = part.where("p_partkey <= 20").select("p_type").distinct()
-    kind = scalar.surface_type(F.col("p_type"))
-    return part.join(known, "p_type", "left_anti").select(scalar.type_node_id(kind).alias("id"), kind.alias("surface_type")).distinct()
+    """Edges from orders to suppliers, on a graph of orders and parts: ends that exist by chance, and repeated edges."""
+    far = F.lit(1_000_000_000)
+    edges = read(spark, folder, "lineitem").select(F.lit(1).alias("doc_id"), F.col("l_orderkey").alias("source_id"), F.col("l_returnflag").alias("relation"), (F.col("l_suppkey") + far).alias("target_id"))
+    nodes = read(spark, folder, "orders").select(F.lit(1).alias("doc_id"), F.col("o_orderkey").alias("id")).unionByName(read(spark, folder, "part").select(F.lit(1).alias("doc_id"), (F.col("p_partkey") + far).alias("id")))
+    return graph.validate(nodes, edges).drop("doc_id")
 
 
 @query("edge_index", "SELECT l_orderkey AS source_id, array_to_string(list_sort(list_distinct(list(l_partkey))), ',') AS targets FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
@@ -399,7 +388,8 @@ def edge_index(spark, folder):
 
 @query("gml_id_index", "SELECT trim(p_name) AS gml_id, count(*) AS n_nodes, min(concat('solid:', p_partkey)) AS first_node FROM part GROUP BY 1")
 def gml_id_index(spark, folder):
-    return read(spark, folder, "part").groupBy(F.trim("p_name").alias("gml_id")).agg(F.count("*").alias("n_nodes"), F.min(F.concat(F.lit("solid:"), "p_partkey")).alias("first_node"))
+    nodes = read(spark, folder, "part").select(F.lit(1).alias("doc_id"), F.col("p_name").alias("gml_id"), F.concat(F.lit("solid:"), "p_partkey").alias("id"))
+    return graph.id_index(nodes).select("gml_id", F.size("node_ids").cast("long").alias("n_nodes"), F.col("node_ids")[0].alias("first_node"))
 
 
 # ---------------------------------------------------------------- hierarchy
@@ -479,37 +469,8 @@ def first_descendant(spark, folder):
     return read(spark, folder, "orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("first_priority"), F.min(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("first_finished"))
 
 
-@query("semantic_edges_rule_table", f"SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'CONTAINS' WHEN o_orderstatus = 'F' THEN 'INTERIOR_FURNITURE' ELSE 'INSIDE' END AS relation, count(*) AS n FROM {_PATH} GROUP BY 1")
-def semantic_edges_rule_table(spark, folder):
-    """Rules as data: (owner type, condition on the parent) picks the relation."""
-    rules = spark.createDataFrame([("Building", None, "CONTAINS"), ("Room", True, "INTERIOR_FURNITURE"), ("Room", False, "INSIDE")], "owner_type string, finished boolean, relation string")
-    status = read(spark, folder, "orders").select(F.col("o_orderkey").alias("eid"), (F.col("o_orderstatus") == "F").alias("is_finished"))
-    rows = path_elements(spark, folder).select("eid", tree.nearest(F.col("anc"), ["Building", "Room"])["tag"].alias("owner_type")).join(status, "eid")
-    return rows.join(F.broadcast(rules), "owner_type").where("finished is null or finished = is_finished").groupBy("relation").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- appearance
 
-@query("apply_targets", "SELECT l.doc_id, count(*) AS n_targets, sum(n_chars)::BIGINT AS n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1")
-def apply_targets(spark, folder):
-    """References resolved to all nodes that carry the id."""
-    labels, docs = read(spark, folder, "labels").select("doc_id"), read(spark, folder, "documents").select("doc_id", "n_chars")
-    return labels.join(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_targets"), F.sum("n_chars").alias("n_chars"))
-
-
-@query("unmatched_targets", "SELECT quality, count(*) AS n_unmatched, min(doc_id) AS first_unmatched FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0) GROUP BY 1")
-def unmatched_targets(spark, folder):
-    docs = read(spark, folder, "documents").select("doc_id").where("doc_id % 4 <> 0")
-    return read(spark, folder, "labels").join(docs, "doc_id", "left_anti").groupBy("quality").agg(F.count("*").alias("n_unmatched"), F.min("doc_id").alias("first_unmatched"))
-
-
-@query("fallback_owner", "SELECT 'order_' || arg_min(o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END * 1000000000 + o_orderkey) AS owner, count(*) AS n_candidates FROM orders")
-def fallback_owner(spark, folder):
-    """The first element of the highest priority present."""
-    priority = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    return read(spark, folder, "orders").agg(F.concat(F.lit("order_"), F.min_by("o_orderkey", F.struct(priority, "o_orderkey"))).alias("owner"), F.count("*").alias("n_candidates"))
-
-
 # ---------------------------------------------------------------- scalars
 
 _KEY_SQL = "coalesce(nullif(lower(trim(regexp_replace(regexp_replace({c}, '[^0-9A-Za-z_]+', '_', 'g'), '_+', '_', 'g'), '_')), ''), 'unnamed')"
@@ -570,13 +531,13 @@ def local_name(spark, folder):
 
 @query("progress_bars", "WITH k AS (SELECT c_custkey, CAST(round_even(least(greatest(c_acctbal / 10000.0, 0.0), 1.0) * 20, 0) AS INTEGER) AS k FROM customer) SELECT c_custkey, concat(repeat('#', k), repeat('-', 20 - k)) AS bar FROM k")
 def progress_bars(spark, folder):
-    return read(spark, folder, "customer").select("c_custkey", scalar.bar(F.col("c_acctbal"), F.lit(10000.0)).alias("bar"))
+    return read(spark, folder, "customer").select("c_custkey", scalar.bar(F.col("c_acctbal"), F.lit(10000.0), 20).alias("bar"))
 
 
 @query("format_counter", "SELECT c_nationkey, string_agg(concat(c_mktsegment, '=', n), ', ' ORDER BY c_mktsegment) AS line FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
 def format_counter(spark, folder):
     counts = read(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    return counts.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat("c_mktsegment", F.lit("="), "n"))), ", ").alias("line"))
+    return counts.groupBy("c_nationkey").agg(scalar.counter_text("c_mktsegment", "n").alias("line"))
 
 
 @query("read_dotted_path", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k, 0.0::DOUBLE AS missing FROM events")
@@ -609,15 +570,6 @@ def appearance_coverage(spark, folder):
     return rows.agg(F.count("*").alias("total"), F.count("linked").alias("linked"), (F.lit(100.0) * F.count("linked") / F.count("*")).alias("coverage"))
 
 
-@query("theme_coverage", f"WITH {_R} SELECT CAST((count(*) FILTER (relation = 'INTERSECTS') > 0)::INT + (count(*) FILTER (relation = 'TOUCHES') > 0)::INT + (count(*) FILTER (relation = 'ADJACENT_TO') > 0)::INT + (count(*) > 0)::INT + 0 AS BIGINT) AS present, CAST(5 AS BIGINT) AS families FROM r")
-def theme_coverage(spark, folder):
-    """How many families of five are not empty; the last has no rows here."""
-    present = lambda test: (F.count_if(test) > 0).cast("long")
-    rel = lambda r: F.coalesce(F.col("relation") == r, F.lit(False))
-    parts = present(rel("INTERSECTS")) + present(rel("TOUCHES")) + present(rel("ADJACENT_TO")) + present(F.lit(True)) + present(F.lit(False))
-    return relations(spark, folder).agg(parts.alias("present"), F.lit(5).cast("long").alias("families"))
-
-
 @query("density_stats", "SELECT o_orderpriority, avg(n) AS avg_n, max(n) AS max_n FROM (SELECT o_orderpriority, l_orderkey, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY 1")
 def density_stats(spark, folder):
     rows = read(spark, folder, "lineitem").join(read(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -665,15 +617,16 @@ def baseline_check(spark, folder):
 
 # ---------------------------------------------------------------- sinks
 
-@query("upsert_merge_props", """WITH u AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance, 0 AS ord FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'NEW' END, c_acctbal + 1, 1 FROM customer WHERE c_custkey % 2 = 0)
-SELECT id, arg_max(segment, ord) FILTER (segment IS NOT NULL) AS segment, arg_max(balance, ord) AS balance FROM u GROUP BY 1""")
+@query("upsert_merge_props", """WITH u AS (SELECT c_custkey AS id, c_mktsegment AS segment, CAST(c_acctbal AS VARCHAR) AS balance, NULL AS note, 0 AS ord FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE 'NEW' END, NULL, c_name, 1 FROM customer)
+SELECT id, arg_max(segment, ord) FILTER (segment IS NOT NULL) AS segment, max(balance) AS balance, max(note) AS note FROM u GROUP BY 1""")
 def upsert_merge_props(spark, folder):
-    """New rows merge into old ones property by property; a null property leaves the old value."""
+    """New maps of properties merge into old ones entry by entry; a null entry leaves the old value."""
     from plinth.sources.store import merge_properties
 
-    old = read(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
-    new = old.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 != 0, F.lit("NEW")).alias("segment"), (F.col("balance") + 1).alias("balance"))
-    return merge_properties(old, new, ["id"])
+    rows = read(spark, folder, "customer").withColumn("id", F.col("c_custkey"))
+    old = rows.select("id", F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("balance"), F.col("c_acctbal").cast("string")).alias("props"))
+    new = rows.select("id", F.create_map(F.lit("segment"), F.when(F.col("c_acctbal") >= 0, "NEW"), F.lit("note"), F.col("c_name")).alias("props"))
+    return merge_properties(old, new, ["id"]).select("id", *[F.col("props")[k].alias(k) for k in ("segment", "balance", "note")])
 
 
 @query("batch_chunks", "SELECT l_returnflag AS label, CAST(floor((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1) / 5000) AS BIGINT) AS batch FROM lineitem")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StructField, StructType
 
-from plinth.operators.graph import SceneGraph, cut
+from plinth.operators.graph import SceneGraph, cut, numbered
 
 #: Parts of a store that are rewritten each for itself; documents are dealt to them by a hash.
 BUCKETS = 64
@@ -33,23 +33,11 @@ def merge_properties(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
 
 
 def chunks(rows: DataFrame, label: list[str], order: list[str], size: int, ranges: int | None = None) -> DataFrame:
-    """rows with ``batch``, fixed-size slices of each label in order; one slice if size is not positive.
-
-    The rows are dealt by ranges of (label, order) and counted, and a row's place is its
-    place in its range after the rows of its label in the ranges before: a label with most
-    of the rows is spread over many tasks.
-    """
+    """rows with ``batch``, fixed-size slices of each label in order; one slice if size is not positive."""
     if size <= 0:
         return rows.withColumn("batch", F.lit(0).cast("long"))
-    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # checkpointed, so that the boundaries that were sampled hold for both uses
-    dealt = cut(rows.repartitionByRange(ranges, *label, *order).withColumn("range_", F.spark_partition_id()))
-    sizes = dealt.groupBy(*label, "range_").agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy(*label).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("before_", F.coalesce(before, F.lit(0))).drop("n_")
-    keyed = dealt.join(starts.select(*[F.col(c).alias(f"{c}_key_") for c in label], F.col("range_").alias("range_key_"), "before_"), [F.col(c).eqNullSafe(F.col(f"{c}_key_")) for c in label] + [F.col("range_") == F.col("range_key_")])
-    place = F.row_number().over(Window.partitionBy(*label, "range_").orderBy(*order)) - 1 + F.col("before_")
-    return keyed.select(*rows.columns, F.floor(place / size).cast("long").alias("batch"))
+    placed = numbered(rows, label, order, "batch", ranges)
+    return placed.withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def repeated_ids(nodes: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def test_scorecard(built):
 
 
 def test_breakdown_and_coverage(built):
-    rows = {r.building.rsplit("/", 1)[1]: r for r in score.building_breakdown(built).collect()}
+    rows = {r.root.rsplit("/", 1)[1]: r for r in score.building_breakdown(built).collect()}
     assert rows["INDOOR.gml\x1fmill"].BuildingFurniture == 2 and rows["SPATIAL.gml\x1fyard"].Opening == 2
     assert [r.coverage for r in score.appearance_coverage(built).collect()] == [100.0]
 
@@ -116,7 +116,36 @@ def test_breakdown_and_coverage(built):
 def test_run_and_store(spark, built, tmp_path):
     status, summary = importer.run_import(spark, f"{built.folder}/INDOOR.gml", f"{tmp_path}/out", store=f"{tmp_path}/store")
     assert status == 0 and summary["node_count"] == 10 and summary["edge_count"] == 12 and "overall 100.00" in importer.report(summary)
+    assert all(title in importer.report(summary) for title in ("Property enrichment", "Appearance coverage", "Geometry density", "Building breakdown", "Checklist", "Timeline"))
+    assert summary["appearance_coverage"][0]["coverage"] == 100.0 and summary["property_enrichment"][0]["nodes"] == 8 and summary["criteria"] and summary["spatial_pair_stats"] == []
+    assert spark.read.json(f"{tmp_path}/out/scorecard").count() == 1 and spark.read.json(f"{tmp_path}/out/building_breakdown").count() == 1
     store = GraphStore(spark, f"{tmp_path}/store")
     again = store.save(store.load())
     assert again == {"node_count": 10, "edge_count": 12}
     assert importer.run_import(spark, f"{tmp_path}/absent.gml", f"{tmp_path}/out")[0] == 2
+
+
+def test_pair_families(built):
+    rows = {r.family: r for r in score.pair_stats(built).collect()}
+    kind = {k: v[0] for k, v in fixtures.WORKSHOP.items()}
+    want = {}
+    for (a, b), r in fixtures.workshop_relations().items():
+        other = [kind[x] for x in (a, b) if kind[x] != "BuildingFurniture"]
+        family = "furniture_furniture" if not other else "furniture_boundary_surface" if other[0] == "WallSurface" else "furniture_opening"
+        want.setdefault(family, []).append(r)
+    assert {k: r.inferred for k, r in rows.items()} == {k: len(v) for k, v in want.items()}
+    assert {k: r.TOUCHES for k, r in rows.items()} == {k: v.count("TOUCHES") for k, v in want.items()}
+
+
+def test_without_relations(built):
+    plain = construct.build(of(built.elements, "SPATIAL"), relations=False)
+    assert plain.graph.edges.where(plain.graph.edges.relation.isin(*schema.SPATIAL)).count() == 0 and plain.graph.nodes.count() == of(built.graph.nodes, "SPATIAL").count()
+
+
+def test_stored_graphs_on_the_command_line(spark, built, tmp_path, capsys):
+    from plinth import cli
+
+    GraphStore(spark, f"{tmp_path}/store").save(type(built.graph)(of(built.graph.nodes, "INDOOR"), of(built.graph.edges, "INDOOR")))
+    assert cli.main(["relations", "--store", f"{tmp_path}/store", "--relation", "INSIDE"]) == 0 and "INSIDE BuildingFurniture -> Room: 2" in capsys.readouterr().out
+    assert cli.main(["export", "--store", f"{tmp_path}/store", "--output", f"{tmp_path}/out", "--format", "parquet"]) == 0 and spark.read.parquet(f"{tmp_path}/out/nodes").count() == 10
+    assert cli.main(["export", "--store", f"{tmp_path}/none", "--output", f"{tmp_path}/out"]) == 2

@@ -68,7 +68,7 @@ def test_pairs_like_brute_force(spark):
     rows = []
     for i in range(150):
         low = [rng.uniform(-9, 9) for _ in range(3)]
-        rows.append((f"o{i}", i % 3, *[v for a in low for v in (a, a + rng.choice([0.0, 0.5, 3.0]))]))
+        rows.append((f"o{i}", i % 3, *[v for a in low for v in (a, a + rng.choice([0.0, 0.5, 3.0, 3.0, 40.0]))]))
     df = spark.createDataFrame(rows, "id string, room int, " + ", ".join(f"{c} double" for c in spatial.BOX))
     want = {}
     for a in rows:
@@ -82,6 +82,21 @@ def test_pairs_like_brute_force(spark):
     for pairs in (spatial.pairs(df, ["room"]), spatial.near_pairs(df, ["room"], t.adjacent, 2.0)):
         found = spatial.infer(pairs, t).where("relation is not null").collect()
         assert len(found) == len(want) and {(r.a_id, r.b_id): r.relation for r in found} == want
+    # with a seed on one side
+    seed = F.col("id").rlike("[05]$")
+    some = {k: v for k, v in want.items() if any(x[-1] in "05" for x in k)}
+    for pairs in (spatial.seeded_pairs(df, ["room"], seed), spatial.near_pairs(df, ["room"], t.adjacent, 2.0, seed)):
+        found = spatial.infer(pairs, t).where("relation is not null").collect()
+        assert len(found) == len(some) and {(r.a_id, r.b_id): r.relation for r in found} == some
+    # far objects are no candidates of the grid
+    assert spatial.near_pairs(df.where("id in ('o0', 'o3')").withColumn("min_x", F.when(F.col("id") == "o0", 1e6).otherwise(F.col("min_x"))).withColumn("max_x", F.greatest("min_x", "max_x")), ["room"], 1.0, 2.0).count() == 0
+
+
+def test_a_wide_box_covers_few_cells(spark):
+    rows = [("wide", 0, -1e9, 1e9, 0.0, 0.1, 0.0, 1.0)] + [(f"o{k}", 0, float(k), k + 0.5, 0.0, 0.2, 0.0, 1.0) for k in range(50)]
+    df = spark.createDataFrame(rows, "id string, room int, " + ", ".join(f"{c} double" for c in spatial.BOX))
+    found = spatial.near_pairs(df, ["room"], 0.1, 1.0).collect()
+    assert len([r for r in found if r.a_id == "wide"]) == 50 and len({(r.a_id, r.b_id) for r in found}) == len(found) < 300
 
 
 def test_last_and_first_wins(spark):
@@ -109,3 +124,15 @@ def test_config(tmp_path):
     path.write_text("project: {name: x, citygml_version: '9'}\nspatial: {touch_epsilon: oops}\n")
     c = config.load(str(path))
     assert (c.name, c.version, c.thresholds) == ("x", "2.0", Thresholds())
+
+
+def test_furniture_and_dispatch(spark):
+    from plinth.operators import construct
+
+    raw = F.create_map(*[F.lit(x) for x in ("gml_id", "f1", "class", " seat ", "function", "sit, rest,", "gml_name", "")])
+    piece = spark.range(1).select(scalar.furniture_of(raw).alias("p")).select("p", scalar.furniture_properties(F.col("p")).alias("m")).head()
+    assert piece.p.gml_id == "f1" and piece.p["class"] == "seat" and piece.p.function == ["sit", "rest"] and piece.p.usage == [] and piece.p.gml_name is None and not piece.p.has_geometry
+    assert piece.m == {"gml_id": "f1", "class": "seat", "function": '["sit","rest"]'}
+    rows = spark.createDataFrame([("Door",), ("Room",), ("other",)], "tag string").select("tag", construct.dispatch(F.col("tag"), {"Opening": F.lower("tag")}).alias("d"))
+    assert {r.tag: tuple(r.d) for r in rows.collect()} == {"Door": ("handled", "door"), "Room": ("unhandled", None), "other": ("unhandled", None)}
+    assert one(spark, scalar.bar(F.lit(3), F.lit(0), 4)) == "----" and one(spark, scalar.bar(F.lit(3.0), F.lit(4.0), 4)) == "###-"
