@@ -106,16 +106,28 @@ def elements(spark: SparkSession, folder: str) -> DataFrame:
     return construct.union([p.select(*ELEMENT) for p in parts])
 
 
-#: One built graph a session and folder: its stages are checkpointed, and many queries read them.
-_BUILT: dict[tuple, construct.Built] = {}
+#: Elements, records and the built graph of one session and folder: they are checkpointed, and many queries read them.
+_KEPT: dict[tuple, object] = {}
+
+
+def _kept(spark: SparkSession, folder: str, part: str, make):
+    key = (spark.sparkContext.applicationId, folder, part)
+    for old in [k for k in _KEPT if k[:2] != key[:2]]:
+        del _KEPT[old]
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def parsed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Elements and their records."""
+    # lineitems make most of the elements, and come as few partitions
+    found = _kept(spark, folder, "elements", lambda: graph.cut(elements(spark, folder).repartition("doc_id", "eid")))
+    return found, _kept(spark, folder, "records", lambda: graph.cut(construct.records(found)))
 
 
 def built(spark: SparkSession, folder: str) -> construct.Built:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = construct.build(graph.cut(elements(spark, folder)), T)
-    return _BUILT[key]
+    return _kept(spark, folder, "built", lambda: construct.build(parsed(spark, folder)[0], T))
 
 
 _BASE = """o AS (
@@ -144,19 +156,19 @@ _SEMANTIC = """sem(nk, relation) AS (
   UNION ALL SELECT nk, CASE l_returnflag WHEN 'A' THEN 'BuildingFurniture' WHEN 'N' THEN 'BoundarySurface' ELSE 'Opening' END FROM l UNION ALL SELECT nk, 'BoundarySurface' FROM l WHERE framed
 ) SELECT {_DOC} AS doc_id, node_type, count(*) AS n FROM r GROUP BY 1, 2""")
 def city_records(spark, folder):
-    return summary.count_by(built(spark, folder).records, "doc_id", "node_type")
+    return summary.count_by(parsed(spark, folder)[1], "doc_id", "node_type")
 
 
 @query("city_fallback_ids", f"SELECT concat('nation_', c_nationkey) AS doc_id, concat('address_', row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) AS id, c_custkey * 8 + 19 AS eid FROM customer")
 def city_fallback_ids(spark, folder):
     """Addresses have no id of their own."""
-    return built(spark, folder).records.where("node_type = 'Address'").select("doc_id", "id", "eid")
+    return parsed(spark, folder)[1].where("node_type = 'Address'").select("doc_id", "id", "eid")
 
 
 @query("city_semantic_edges", f"WITH {_BASE}, {_SEMANTIC} SELECT {_DOC} AS doc_id, relation, count(*) AS n FROM sem GROUP BY 1, 2")
 def city_semantic_edges(spark, folder):
     """The rule table on real elements."""
-    return summary.count_by(construct.semantic_edges(built(spark, folder).records), "doc_id", "relation")
+    return summary.count_by(construct.semantic_edges(parsed(spark, folder)[1]), "doc_id", "relation")
 
 
 @query("city_room_edges", f"""WITH {_BASE} SELECT {_DOC} AS doc_id, concat('o_', l_orderkey) AS room, 
@@ -172,7 +184,7 @@ def city_room_edges(spark, folder):
 
 @query("city_surface_types", f"WITH {_BASE} SELECT DISTINCT {_DOC} AS doc_id, concat('boundary_surface_type::', CASE WHEN l_returnflag = 'N' AND l_linestatus <> 'F' THEN 'FloorSurface' ELSE 'WallSurface' END) AS id FROM l WHERE l_returnflag = 'N' OR framed")
 def city_surface_types(spark, folder):
-    return construct.surface_types(built(spark, folder).records)[0].select("doc_id", "id")
+    return construct.surface_types(parsed(spark, folder)[1])[0].select("doc_id", "id")
 
 
 @query("city_building_properties", "SELECT concat('nation_', n_nationkey) AS doc_id, concat('b_', n_nationkey) AS id, concat('\"', n_name, '\"') AS gml_name, CAST(1900 + n_regionkey AS VARCHAR) AS built, concat(n_regionkey + 3, '.5') AS height, '\"m\"' AS unit, '\"Building\"' AS object_type FROM nation")
@@ -184,23 +196,23 @@ def city_building_properties(spark, folder):
 
 @query("city_generic_attributes", "SELECT concat('nation_', c_nationkey) AS doc_id, c_custkey * 8 + 17 AS eid, 'attr_market_segment' AS key, concat('\"', c_mktsegment, '\"') AS value FROM customer")
 def city_generic_attributes(spark, folder):
-    b = built(spark, folder)
-    return construct.generic_attributes(b.elements, b.records).select("doc_id", "eid", F.explode("generic").alias("key", "value"))
+    b = parsed(spark, folder)
+    return construct.generic_attributes(*b).select("doc_id", "eid", F.explode("generic").alias("key", "value"))
 
 
 @query("city_addresses", "SELECT concat('nation_', c_nationkey) AS doc_id, c_custkey * 8 + 19 AS eid, c_mktsegment AS locality FROM customer")
 def city_addresses(spark, folder):
     """First text below an address, by name."""
-    b = built(spark, folder)
-    return tree.first_text(b.elements, b.records.where("node_type = 'Address'"), {"LocalityName": "locality"})
+    b = parsed(spark, folder)
+    return tree.first_text(b[0], b[1].where("node_type = 'Address'"), {"LocalityName": "locality"})
 
 
 @query("city_subtree_sizes", f"WITH {_BASE} SELECT {_DOC} AS doc_id, nk * 0 + l_orderkey * 1024 + 1048577 AS room_eid, CAST(1 + sum(CASE WHEN framed THEN 8 ELSE 6 END) AS BIGINT) AS n FROM l GROUP BY 1, 2")
 def city_subtree_sizes(spark, folder):
     """Elements at and below every order that has lineitems."""
-    b = built(spark, folder)
-    roots = b.records.where("node_type in ('Room', 'BuildingInstallation', 'IntBuildingInstallation')")
-    return tree.descendants(b.elements, roots).groupBy("doc_id", F.col("root_eid").alias("room_eid")).agg(F.count("*").alias("n")).where("n > 1")
+    b = parsed(spark, folder)
+    roots = b[1].where("node_type in ('Room', 'BuildingInstallation', 'IntBuildingInstallation')")
+    return tree.descendants(b[0], roots).groupBy("doc_id", F.col("root_eid").alias("room_eid")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("city_geometry_nodes", f"""WITH {_BASE} SELECT {_DOC} AS doc_id, unnest(['Polygon', 'LinearRing', 'Position']) AS node_type, unnest([count(*), count(*), 2 * count(*)]) AS n FROM l GROUP BY nk""")
@@ -210,15 +222,15 @@ def city_geometry_nodes(spark, folder):
 
 @query("city_geometry_edges", f"""WITH {_BASE} SELECT {_DOC} AS doc_id, unnest(['HAS_GEOMETRY', 'HAS_RING', 'HAS_POS']) AS relation, unnest([count(*), count(*), 2 * count(*)]) AS n FROM l GROUP BY nk""")
 def city_geometry_edges(spark, folder):
-    b = built(spark, folder)
-    return summary.count_by(construct.geometry(b.elements, b.records).edges, "doc_id", "relation")
+    b = parsed(spark, folder)
+    return summary.count_by(construct.geometry(*b).edges, "doc_id", "relation")
 
 
 @query("city_ring_positions", f"SELECT {_DOC} AS doc_id, concat('ring:p_', l_orderkey, '_', k, '_ring_0') AS id, CAST(i AS INTEGER) AS place, l_quantity + i AS x, round(l_discount * 100) + i AS y, round(l_tax * 100) + i AS z FROM (WITH {_BASE} SELECT *, unnest([0, 1]) AS i FROM l)")
 def city_ring_positions(spark, folder):
     """Positions of every ring, and the ids of rings without one."""
-    b = built(spark, folder)
-    rings = construct.geometry(b.elements, b.records).rings.select("doc_id", "id", F.posexplode("positions").alias("place", "p"))
+    b = parsed(spark, folder)
+    rings = construct.geometry(*b).rings.select("doc_id", "id", F.posexplode("positions").alias("place", "p"))
     return rings.select("doc_id", "id", "place", *[F.col("p")[k].alias(a) for k, a in enumerate(AXES)])
 
 
@@ -297,7 +309,7 @@ def city_appearance_coverage(spark, folder):
 @query("city_validate_graph", f"WITH {_BASE} SELECT {_DOC} AS doc_id, 'missing target' AS problem, 'HAS_SURFACE_TYPE' AS relation, count(*) AS n FROM l WHERE l_returnflag = 'N' OR framed GROUP BY 1")
 def city_validate_graph(spark, folder):
     """The edges of records, checked before the surface types are nodes."""
-    recs = built(spark, folder).records
+    recs = parsed(spark, folder)[1]
     edges = construct.semantic_edges(recs).unionByName(construct.surface_types(recs)[1])
     return graph.validate(recs.select("doc_id", "id"), edges).groupBy("doc_id", "problem", "relation").agg(F.count("*").alias("n"))
 
@@ -317,7 +329,7 @@ def city_gml_id_index(spark, folder):
   UNION ALL SELECT s_nationkey, unnest(['HAS_SURFACE_DATA', 'APPLIES_TO']), unnest([count(*), 3 * count(*)]) FROM supplier GROUP BY s_nationkey
 ) SELECT {_DOC} AS doc_id, relation, CAST(sum(expected) AS BIGINT) AS expected FROM a GROUP BY 1, 2""")
 def city_expected_relations(spark, folder):
-    return score.expected_relations(built(spark, folder).elements).where("expected > 0")
+    return score.expected_relations(parsed(spark, folder)[0]).where("expected > 0")
 
 
 @query("city_property_counts", """SELECT concat('nation_', n_nationkey) AS doc_id, unnest(['gml_name', 'year_of_construction', 'measured_height', 'generic_attributes']) AS channel, unnest([1, 1, 1, n]) AS expected, unnest([1, 1, 1, n]) AS actual
