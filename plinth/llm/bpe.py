@@ -26,13 +26,18 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_steps
 
+if TYPE_CHECKING:
+    import numpy as np
+
 LONG, SHORT = 128, 32
 #: Rows times rounds, and parts, of one query.
 STEPS, PARTS = 1 << 21, 20_000
@@ -41,6 +46,8 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%&*#$]*)")
 MEMORY = "400MB"
 #: Bytes of text encoded at a time: a round of the query costs the same for few pieces as for many.
 STEP = 4 << 20
+#: Words whose ids are gathered at a time.
+GATHER = 1 << 18
 
 #: Contracts the leftmost minimum-rank pair of each piece until none is left.
 CONTRACT = """
@@ -149,7 +156,7 @@ class Codec:
             self.side_by_side[b[:-1] << 8 | b[1:]] = True
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str, pattern: str) -> "Codec":
@@ -228,43 +235,70 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        ids, ends = self.encode_flat(texts)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[x:y] for x, y in zip(ends, ends[1:])]
+
+    def encode_flat(self, texts: list[str]) -> tuple["np.ndarray", "np.ndarray"]:
+        """The ids of all texts one after another, and where each text's begin (and the last end)."""
+        import numpy as np
+
         if len(self.chunks) > self.LIMIT:
-            self.chunks = {"": b""}
+            self.chunks = {}
         # where every space leads a word, pieces never reach across one: cut there and memoise
-        split = [None if self._LOOSE.search(t) else t.split(" ") for t in texts]
-        chunks, find = self.chunks, self.pattern.findall
-        led: set[str] = set()
-        heads: list[list[str]] = []
-        for t, s in zip(texts, split):
-            if s is None:
-                heads.append(find(t))
-            else:
-                heads.append(find(s[0]))
-                led.update(s[1:])
-        plain = self.plain.fullmatch
+        loose = [self._LOOSE.search(t) is not None for t in texts]
+        split = pc.split_pattern(pa.array(["" if x else t for t, x in zip(texts, loose)], pa.large_string()), " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        # the word before the first space has none to lead it, and a loose text has no other word: those come after the led words
+        word = coded.indices.to_numpy().astype(np.int64)
+        led_ones = np.ones(len(word), bool)
+        led_ones[first[:-1]] = False
+        known = coded.dictionary.to_pylist()
+        heads = [known[k] for k in word[first[:-1]].tolist()]
+        led = [known[k] for k in np.flatnonzero(np.bincount(word[led_ones], minlength=len(known))).tolist()]
+        word[first[:-1]] = len(known) + np.arange(len(texts))
+
+        chunks, find, plain = self.chunks, self.pattern.findall, self.plain.fullmatch
+        head_pieces = [find(t if x else h) for t, x, h in zip(texts, loose, heads)]
         fresh = []
         for w in led:
             if w not in chunks:
                 m = plain(w)
                 fresh.append((w, (f" {m[1]}", m[2]) if m and m[2] else (f" {w}",) if m else find(f" {w}")))
-        self._learn({p for _, ps in fresh for p in ps}.union(*heads))
+        self._learn({p for _, ps in fresh for p in ps}.union(*head_pieces))
         pieces = self.pieces.__getitem__
         for w, ps in fresh:
             chunks[w] = b"".join(map(pieces, ps))
-        get = chunks.__getitem__
-        return [b"".join(map(pieces, head)) + (b"".join(map(get, s[1:])) if s else b"") for head, s in zip(heads, split)]
+        parts = [chunks.get(w, b"") for w in known] + [b"".join(map(pieces, ps)) for ps in head_pieces]
+
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(parts), np.dtype("<i4")).astype(np.int32, copy=False)
+        total = np.concatenate([[0], np.cumsum(size[word])])
+        ids = np.empty(total[-1], np.int32)
+        for k in range(0, len(word), GATHER):
+            some = word[k : k + GATHER]
+            ends = total[k : k + len(some) + 1]
+            ids[ends[0] : ends[-1]] = pool[np.arange(ends[0], ends[-1]) + np.repeat(start[some] - ends[:-1], size[some])]
+        return ids, total[first]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """Bytes of each id list: chunks of ids are joined to the token table and aggregated in order."""
+        """Bytes of each id list."""
         import numpy as np
 
         sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-        ids = np.frombuffer(b"".join(encoded), np.int32)
-        doc = np.repeat(np.arange(len(encoded), dtype=np.int32), sizes)
+        return self.decode_flat(np.frombuffer(b"".join(encoded), np.int32), np.concatenate([[0], np.cumsum(sizes)]))
+
+    def decode_flat(self, ids: "np.ndarray", ends: "np.ndarray") -> list[bytes]:
+        """Bytes of each text's ids, which are joined to the token table and aggregated in order."""
+        import numpy as np
+
+        doc = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
         self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "token": ids}))
         found = self.db.execute(DECODE).fetchall()
         self.db.unregister("ids")
-        out = [b""] * len(encoded)
+        out = [b""] * (len(ends) - 1)
         for k, text in found:
             out[k] = bytes.fromhex(text)
         return out
@@ -283,13 +317,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", want_i
         codec = Codec.at(ranks, pattern)
         for first, last, data, bounds in text_steps(batch.column("text"), STEP):
             raw, b = data.tobytes(), bounds.tolist()
-            encoded = codec.encode([raw[x:y].decode() for x, y in zip(b[:-1], b[1:])])
+            ids, ends = codec.encode_flat([raw[x:y].decode() for x, y in zip(b[:-1], b[1:])])
+            bytes_of, e = ids.astype("<u4").data, ends.tolist()
             yield {
                 "doc_id": batch.column("doc_id")[first:last],
-                "n_tokens": [len(e) // 4 for e in encoded],
-                "ids_sha256": [hashlib.sha256(e).hexdigest() for e in encoded],
-                "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in codec.decode(encoded)],
-                "ids": [np.frombuffer(e, np.int32) if want_ids else None for e in encoded],
+                "n_tokens": np.diff(ends),
+                "ids_sha256": [hashlib.sha256(bytes_of[x:y]).hexdigest() for x, y in zip(e, e[1:])],
+                "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in codec.decode_flat(ids, ends)],
+                "ids": [ids[x:y] if want_ids else None for x, y in zip(e, e[1:])],
             }
 
     return map_batches(docs.select("doc_id", F.col(text).alias("text")), run, f"doc_id {kind}, {SCHEMA}")
