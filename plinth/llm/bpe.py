@@ -49,32 +49,34 @@ STEP = 4 << 20
 #: Words whose ids are gathered at a time.
 GATHER = 1 << 18
 
-#: Contracts the leftmost minimum-rank pair of each piece until none is left.
+#: Contracts the leftmost minimum-rank pair of each piece until none is left.  A row knows the position of the
+#: next one (as does the one that is gone), so neighbours meet by a join and nothing is sorted before the end.
 CONTRACT = """
-WITH RECURSIVE state(round, piece, pos, token) AS (
-    SELECT 0, piece, pos, token FROM start
+WITH RECURSIVE state(round, piece, pos, next, token) AS (
+    SELECT 0, piece, pos, pos + 1, token FROM start
   UNION ALL
-    (WITH pairs AS (
-        SELECT round, piece, pos, token,
-               lead(token) OVER w AS follower, lead(pos) OVER w AS next_pos
-        FROM state WINDOW w AS (PARTITION BY piece ORDER BY pos)
-     ), best AS (
-        SELECT p.piece, min((m.merged::BIGINT << 32) | p.pos) AS pick, arg_min(p.next_pos, (m.merged::BIGINT << 32) | p.pos) AS gone
-        FROM pairs p JOIN merges m ON p.token = m.first AND p.follower = m.second
-        GROUP BY p.piece
+    (WITH best AS (
+        SELECT a.piece, min((m.merged::BIGINT << 32) | a.pos) AS pick,
+               arg_min((b.pos::BIGINT << 32) | b.next, (m.merged::BIGINT << 32) | a.pos) AS gone
+        FROM state a
+        JOIN state b ON ((a.piece::BIGINT << 32) | a.next) = ((b.piece::BIGINT << 32) | b.pos)
+        JOIN merges m ON ((a.token::BIGINT << 32) | b.token) = m.pair
+        GROUP BY a.piece
      )
-     SELECT s.round + 1, s.piece, s.pos, CASE WHEN s.pos = b.pick & 4294967295 THEN (b.pick >> 32)::INT ELSE s.token END
+     SELECT s.round + 1, s.piece, s.pos,
+            CASE WHEN s.pos = b.pick & 4294967295 THEN (b.gone & 4294967295)::INT ELSE s.next END,
+            CASE WHEN s.pos = b.pick & 4294967295 THEN (b.pick >> 32)::INT ELSE s.token END
      FROM state s JOIN best b ON s.piece = b.piece
-     WHERE s.pos <> b.gone)
+     WHERE s.pos <> b.gone >> 32)
 ), last AS (SELECT piece, max(round) AS round FROM state GROUP BY piece)
 SELECT s.piece, list(s.token ORDER BY s.pos) AS ids
 FROM state s JOIN last l ON s.piece = l.piece AND s.round = l.round
 GROUP BY s.piece
 """
 
-#: Bytes of each text's ids in their order.
+#: Bytes of each text's ids in their order, a character of that number for each byte.
 DECODE = """
-SELECT i.doc, string_agg(t.hex, '' ORDER BY i.pos) AS hex
+SELECT i.doc, array_to_string(list(t.chars ORDER BY i.pos), '') AS chars
 FROM ids i JOIN tokens t ON i.token = t.token
 GROUP BY i.doc
 """
@@ -144,8 +146,8 @@ class Codec:
         first, second, merged = merges(self.ranks)
         table = pa.table({"first": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32()), "merged": pa.array(merged, pa.int32())})
         self.db.register("m", table)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        tokens = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        self.db.execute("CREATE TABLE merges AS SELECT (first::BIGINT << 32) | second AS pair, merged FROM m")
+        tokens = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "chars": [t.decode("latin-1") for t in self.ranks]})
         self.db.register("t", tokens)
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM t")
         self.bytes_of = {i: t for t, i in self.ranks.items()}
@@ -300,7 +302,7 @@ class Codec:
         self.db.unregister("ids")
         out = [b""] * (len(ends) - 1)
         for k, text in found:
-            out[k] = bytes.fromhex(text)
+            out[k] = text.encode("latin-1")
         return out
 
 
