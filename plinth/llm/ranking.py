@@ -141,57 +141,6 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return fit(np.array([r[2] for r in one], np.float64).reshape(len(one), len(FEATURES)), np.array([r[1] for r in one], np.int64))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.raw(x) - self.threshold), -30, 30)))
-
-
-def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, steps: int = 25, seed: int = 7) -> np.ndarray:
-    """Weights that maximise the likelihood of good over bad in random pairs."""
-    rng = np.random.default_rng(seed)
-    d = good[rng.integers(0, len(good), pairs)] - bad[rng.integers(0, len(bad), pairs)]
-    w = np.zeros(d.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # of the wrong order
-        gradient = d.T @ p / pairs - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS) -> Ranker:
-    if not len(y) or y.min() == y.max():
-        return Ranker(np.zeros(3 * len(FEATURES)), 0.0, 0.0)
-    wide = widen(x)
-    w = bradley_terry(wide[y == 1], wide[y == 0], pairs)
-    scores = np.sort(wide @ w)
-    bad = int((y == 0).sum())
-    return Ranker(w, float((scores[bad - 1] + scores[bad]) / 2), 1.0)
-
-
-def extract(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns but the text, with features x."""
-    rest = [c for c in docs.columns if c != text]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["x array<double>"])
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for first, last, words in word_steps(batch.column(text)):
-            yield {c: batch.column(c)[first:last] for c in rest} | {"x": list(features(words))}
-
-    return map_batches(docs, run, schema)
-
-
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Ranker:
-    """A ranker from labelled rows that are not held out."""
-    usable = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
-    chosen = usable.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
-    found = sorted((r.doc_id, r.y, tuple(r.x)) for r in extract(rows).toLocalIterator())
-    return fit(np.array([r[2] for r in found], np.float64).reshape(len(found), len(FEATURES)), np.array([r[1] for r in found], np.int64))
-
-
 def score(docs: DataFrame, ranker: Ranker, text: str = "text") -> DataFrame:
     """doc_id and score."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -118,6 +118,17 @@ def test_ranking_on_hard_rows(spark, hard):
     assert ranking.score(hard.where("false"), ranker).count() == 0
 
 
+def test_repeated_ids_teach_once(spark, monkeypatch):
+    taught = []
+    fit = ranking.fit
+    monkeypatch.setattr(ranking, "fit", lambda x, y: taught.append((x, y)) or fit(x, y))
+    ids = [r.id for r in spark.range(100).where(~common.held_out(F.col("id"))).limit(2).collect()]
+    docs = spark.createDataFrame([(i, f"text {k} of {i} !") for i in ids for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, quality int")
+    ranking.learn(docs, labels)
+    assert [len(x) for x, _ in taught] == [2] and sorted(taught[0][1].tolist()) == [0, 1]
+
+
 def test_pairs_learn_an_order():
     rng = np.random.default_rng(0)
     x = rng.random((400, 16))
