@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 #: Queries that run from the tables to the result without a checkpoint.
-LAZY = ["city_addresses", "city_fallback_ids", ]
+LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", ]
 
 
 def files(folder):
