@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plinth.functions import boxes, scalar
 
 from . import graph, schema, summary, tree
-from .construct import CONTAINERS, Built, with_children
+from .construct import CONTAINERS, Built
 
 #: Property channels: key, and the tag whose presence promises it.
 CHANNELS = [
@@ -17,8 +17,15 @@ CHANNELS = [
 ]
 
 
-def expected_relations(elements: DataFrame) -> DataFrame:
-    """doc_id, relation, expected: every rule counted on the elements, in one pass but for what needs children."""
+#: Tags of the elements that a relation is expected of; a child of surfaceDataMember may have any.
+EXPECTING = [*schema.TAG_TYPES, *CONTAINERS, "ImplicitGeometry", "Polygon", "LinearRing", "pos", "posList", "Appearance", "target", "targetUri"]
+
+
+def expected_relations(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """doc_id, relation, expected: every rule counted on the elements, in one pass and without moving one.
+
+    targets: the target elements, where a table of them is at hand.
+    """
     tag, anc = F.col("tag"), F.col("anc")
     parent = tree.direct_parent_tag(anc)
     under = lambda *tags: tree.nearest(anc, list(tags)).isNotNull()
@@ -51,34 +58,36 @@ def expected_relations(elements: DataFrame) -> DataFrame:
         "HAS_GEOMETRY": is_("Polygon") & owned,
         "HAS_SURFACE_DATA": via("surfaceDataMember") & (F.get(anc, F.size(anc) - 2)["tag"] == "Appearance"),
     }
-    any_owner = elements.where(semantic & (tag != "Address")).select("doc_id").distinct().withColumn("any_owner", F.lit(True))
-    rows = elements.join(any_owner, "doc_id", "left")
-    tests["HAS_APPEARANCE"] = is_("Appearance") & (owned | F.coalesce(F.col("any_owner"), F.lit(False)))
     up = lambda k: F.get(anc, F.size(anc) - k)
     ring = is_("LinearRing") & up(1)["tag"].isin("exterior", "interior") & (up(2)["tag"] == "Polygon") & owned
     tests["HAS_RING"] = ring
     # polygons below a container that has an owner
-    members = F.when(is_("Polygon"), F.size(F.filter(anc, lambda a: a["tag"].isin("Solid", "MultiSurface")))).otherwise(0)
-    counted = rows.groupBy("doc_id").agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()], F.sum(F.when(owned, members).otherwise(0)).alias("HAS_GEOMETRY_MEMBER"))
-    one = lambda c: F.when(c["tag"] == "pos", F.when(scalar.parse_pos(c["text"]).isNotNull(), 1).otherwise(0)).when(c["tag"] == "posList", F.size(scalar.parse_pos_list(c["text"], c["attrs"]["srsDimension"]))).otherwise(0)
-    rings = with_children(elements, elements.where(ring).select("doc_id", "eid"))
-    positions = rings.groupBy("doc_id").agg(F.sum(F.aggregate("children", F.lit(0), lambda a, c: a + one(c))).cast("long").alias("HAS_POS"))
+    members = F.when(is_("Polygon") & owned, F.size(F.filter(anc, lambda a: a["tag"].isin("Solid", "MultiSurface")))).otherwise(0)
+    # a position list is the child of a ring, whose place its own ancestors tell
+    placed = via("LinearRing") & up(2)["tag"].isin("exterior", "interior") & (up(3)["tag"] == "Polygon") & owned
+    held = F.when(is_("pos") & placed, F.when(scalar.parse_pos(F.col("text")).isNotNull(), 1).otherwise(0)).when(is_("posList") & placed, scalar.pos_list_size(F.col("text"), F.col("attrs")["srsDimension"])).otherwise(0)
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    # an appearance without an owner above falls to an object of the document, if there is one
+    look = count(is_("Appearance") & owned) + F.when(count(semantic & (tag != "Address")) > 0, count(is_("Appearance") & ~owned)).otherwise(0)
+    counted = elements.groupBy("doc_id").agg(*[count(t).alias(k) for k, t in tests.items()], look.alias("HAS_APPEARANCE"), F.sum(members).alias("HAS_GEOMETRY_MEMBER"), F.sum(held).cast("long").alias("HAS_POS"))
     sd = F.get(F.filter(F.transform(anc, lambda a, i: F.struct(a["eid"].alias("eid"), (F.get(anc, i - 1)["tag"] == "surfaceDataMember").alias("hit"))), lambda a: a["hit"]), F.lit(0))["eid"]
-    refs = elements.where(tag.isin("target", "targetUri")).select("doc_id", sd.alias("sd"), F.explode(scalar.target_refs(F.col("text"))).alias("ref")).where("sd is not null").distinct()
+    refs = (elements if targets is None else targets).where(tag.isin("target", "targetUri")).select("doc_id", sd.alias("sd"), F.explode(scalar.target_refs(F.col("text"))).alias("ref")).where("sd is not null").distinct()
     applies = refs.groupBy("doc_id").agg(F.count("*").alias("APPLIES_TO"))
-    wide = counted.join(positions, "doc_id", "left").join(applies, "doc_id", "left")
-    names = [*tests, "HAS_GEOMETRY_MEMBER", "HAS_POS", "APPLIES_TO"]
+    wide = counted.join(applies, "doc_id", "left")
+    names = [*tests, "HAS_APPEARANCE", "HAS_GEOMETRY_MEMBER", "HAS_POS", "APPLIES_TO"]
     entries = F.explode(F.array(*[F.struct(F.lit(n).alias("relation"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("expected")) for n in names]))
     return wide.select("doc_id", entries.alias("e")).select("doc_id", "e.*")
 
 
 def property_counts(built: Built) -> DataFrame:
     """doc_id, channel, expected, actual."""
-    semantic = built.elements.where(F.col("tag").isin(*schema.TAG_TYPES)).select("doc_id", "eid")
-    children = with_children(built.elements, semantic).withColumn("tags", F.transform(F.coalesce("children", F.array()), lambda c: c["tag"]))
-    promised = [F.count_if(F.array_contains("tags", t)).alias(k) for k, t in CHANNELS]
-    generic = F.sum(F.size(F.filter("tags", lambda t: t.isin(*schema.GENERIC_TAGS)))).alias("generic_attributes")
-    expected = _long(children.groupBy("doc_id").agg(*promised, generic), "expected")
+    parent = tree.direct_parent_tag(F.col("anc"))
+    below = built.elements.where(parent.isin(*schema.TAG_TYPES) & F.col("tag").isin(*[t for _, t in CHANNELS], *schema.GENERIC_TAGS))
+    generic = F.col("tag").isin(*schema.GENERIC_TAGS)
+    # an object counts once a channel, however many children promise it
+    once = below.groupBy("doc_id", "parent_eid").agg(*[F.max((F.col("tag") == t).cast("int")).alias(k) for k, t in CHANNELS], F.count_if(generic).alias("generic_attributes"))
+    sums = once.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in [*[k for k, _ in CHANNELS], "generic_attributes"]])
+    expected = _long(built.records.select("doc_id").distinct().join(sums, "doc_id", "left").na.fill(0), "expected")
     nodes = built.graph.nodes.withColumn("semantic", F.col("node_type").isin(*schema.SEMANTIC_TYPES))
     has = [F.count_if(F.col("semantic") & F.map_contains_key(F.col("props"), F.lit(k))).alias(k) for k, _ in CHANNELS]
     keys = F.filter(F.map_keys("props"), lambda k: k.startswith("attr_") & ~k.endswith("_uom"))
