@@ -28,7 +28,7 @@ def expected_relations(elements: DataFrame, targets: DataFrame | None = None) ->
     """
     tag, anc = F.col("tag"), F.col("anc")
     parent = tree.direct_parent_tag(anc)
-    under = lambda *tags: tree.nearest(anc, list(tags)).isNotNull()
+    under = lambda *tags: F.exists(anc, lambda a: a["tag"].isin(*tags))
     semantic = tag.isin(*schema.TAG_TYPES)
     owned = under(*schema.TAG_TYPES)
     block = ("Building", "BuildingPart")

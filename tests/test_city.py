@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from plinth.functions import scalar
 from plinth.operators import schema
 from plinth.plans import city, star
 
@@ -12,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 #: Queries that run from the tables to the result without a checkpoint.
-LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", "city_records", "city_appearance_owners", "city_appearance_coverage", "city_enrichment", "city_building_properties", "city_property_counts", ]
+LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", "city_records", "city_appearance_owners", "city_appearance_coverage", "city_enrichment", "city_building_properties", "city_property_counts", "city_expected_relations", ]
 
 
 def files(folder):
@@ -36,6 +37,25 @@ def test_elements_by_tag(spark, tags):
     assert some.count() == whole.count() > 0 and some.exceptAll(whole).isEmpty()
 
 
+def test_bare_elements_have_the_same_places(spark):
+    whole, bare = (city.elements(spark, FOLDER, bare=b).select("doc_id", "eid", "tag", "anc") for b in (False, True))
+    assert bare.count() == whole.count() and bare.exceptAll(whole).isEmpty()
+
+
+def test_subtree_sizes_are_those_of_descendants(spark):
+    found, roots = city.elements(spark, FOLDER, ["Building", "BuildingPart", "Address", "LocalityName"]), city.records(spark, FOLDER, ["Building", "BuildingPart"])
+    got = city.tree.subtree_sizes(found, roots, ["Building", "BuildingPart"])
+    want = city.tree.descendants(found, roots).groupBy("doc_id", "root_eid").agg(city.F.count("*").alias("n"))
+    assert got.count() == want.count() > 0 and got.select(*want.columns).exceptAll(want).isEmpty()
+
+
+def test_position_lists_are_counted_as_they_are_read(spark):
+    texts = ["1 2 3 4 5 6", "1 2 3 4", "1 2 3 4 5", "1", "", "  ", "1 x 3", None, "1 2 3 4 5 6 7", "nan 1 2"]
+    rows = spark.createDataFrame([(t, d) for t in texts for d in ("3", "2", "1", "x", None)], "t string, d string")
+    sizes = rows.select(scalar.pos_list_size(city.F.col("t"), city.F.col("d")).alias("a"), city.F.size(scalar.parse_pos_list(city.F.col("t"), city.F.col("d"))).alias("b"), "t", "d").collect()
+    assert all(r.a == r.b for r in sizes), [r for r in sizes if r.a != r.b]
+
+
 def test_records_by_type(spark):
     whole = city.construct.records(city.elements(spark, FOLDER)).select("doc_id", "eid", "id", "node_type")
     assert city.records(spark, FOLDER).select(*whole.columns).exceptAll(whole).isEmpty() and city.records(spark, FOLDER).count() == whole.count()
