@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 #: Queries that run from the tables to the result without a checkpoint.
-LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", "city_records", "city_appearance_owners", "city_appearance_coverage", "city_enrichment", "city_building_properties", "city_property_counts", "city_expected_relations", "city_geometry_edges", "city_ring_positions", "city_subtree_sizes", ]
+LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", "city_records", "city_appearance_owners", "city_appearance_coverage", "city_enrichment", "city_building_properties", "city_property_counts", "city_expected_relations", "city_geometry_edges", "city_ring_positions", "city_subtree_sizes", "city_gml_id_index", ]
 
 
 def files(folder):
