@@ -112,10 +112,21 @@ def group_count(n: int, radius: int = RADIUS) -> int:
 
 
 def postings(nodes: DataFrame, radius: int, groups: int) -> DataFrame:
-    """(choice, cell, fp, e): a row for each choice of groups - radius groups that may agree."""
+    """(key, fp): a row for each choice of groups - radius groups that may agree, key a hash of the choice and its cell.
+
+    Two cells under one key only add pairs to verify.
+    """
     choices = [_signed(sum(c)) for c in combinations(group_masks(groups), groups - radius)]
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(choices)]))
-    return nodes.select("fp", embedding(F.col("fp")).alias("e")).select("fp", "e", cells.alias("c")).select("c.choice", "c.cell", "fp", "e")
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("e").bitwiseAND(F.lit(m))) for k, m in enumerate(choices)]))
+    return nodes.select("fp", embedding(F.col("fp")).alias("e")).select(keys.alias("key"), "fp")
+
+
+def shared_cells(posted: DataFrame) -> DataFrame:
+    """The postings of cells with several members, and n, their number; postings are dealt once, for the count and for its join."""
+    dealt = posted.repartition("key")
+    # both ends are asked for, so that the count reads the same columns and hence the same exchange
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    return dealt.join(counts.where("lo < hi").select("key", "n"), "key")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -124,7 +135,7 @@ def _distance(a: str, b: str) -> Column:
 
 def _close_pairs(left: DataFrame, on: list[str], apart: Column, radius: int) -> DataFrame:
     right = left.select(*on, *[F.col(c).alias(f"{c}_") for c in left.columns if c not in on])
-    bound = _distance("e", "e_") <= radius
+    bound = F.bit_count(embedding(F.col("fp")).bitwiseXOR(embedding(F.col("fp_")))) <= radius
     return left.join(right, on).where(apart & bound & (_distance("fp", "fp_") <= radius)).select(F.col("fp").alias("a"), F.col("fp_").alias("b"))
 
 
@@ -145,11 +156,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, groups: int | None = None, den
     pair within radius is there; in larger ones links inside a class of close
     fingerprints (steps of 2 bits or less) stand for its pairs.
     """
-    cell = ["choice", "cell"]
-    posted = postings(nodes, radius, groups or group_count(nodes.count(), radius))
-    # counts are summed before they are dealt, and a join that meets a crowded cell can be split
-    crowds = posted.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(posted.join(crowds, cell))
+    cell = ["key"]
+    shared = cut(shared_cells(postings(nodes, radius, groups or group_count(nodes.count(), radius))))
     found = _close_pairs(shared.where(F.col("n") <= dense).drop("n"), cell, F.col("fp") < F.col("fp_"), radius)
     crowded = shared.where(F.col("n") > dense)
     if radius >= 2 and crowded.head(1):

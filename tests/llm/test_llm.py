@@ -165,6 +165,18 @@ def test_more_groups_for_more_fingerprints():
     assert 10**9 / 2 ** (48 * (m - 4) / m) < 4
 
 
+def test_simhash_postings_are_dealt_once(spark):
+    nodes = spark.range(2000).selectExpr("xxhash64(id div 2) ^ (id % 2) as fp")
+    found = simhash.shared_cells(simhash.postings(nodes, 4, 6))
+    cells: dict = {}
+    for r in simhash.postings(nodes, 4, 6).collect():
+        cells.setdefault(r.key, set()).add(r.fp)
+    want = {(k, fp, len(c)) for k, c in cells.items() if len(c) > 1 for fp in c}
+    assert {(r.key, r.fp, r.n) for r in found.collect()} == want and want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning") == 2, plan
+
+
 @pytest.mark.parametrize("dense, groups", [(256, None), (4, 7), (256, 9)])
 def test_links_in_dense_balls(spark, dense, groups):
     rng = random.Random(8)
