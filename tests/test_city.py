@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 #: Queries that run from the tables to the result without a checkpoint.
-LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", "city_records", "city_appearance_owners", "city_appearance_coverage", "city_enrichment", "city_building_properties", "city_property_counts", "city_expected_relations", "city_geometry_edges", "city_ring_positions", "city_subtree_sizes", "city_gml_id_index", "city_geometry_nodes", "city_geometry_density", "city_validate_graph", "city_room_edges"]
+LAZY = ["city_addresses", "city_fallback_ids", "city_generic_attributes", "city_records", "city_appearance_owners", "city_appearance_coverage", "city_enrichment", "city_building_properties", "city_property_counts", "city_expected_relations", "city_geometry_edges", "city_ring_positions", "city_subtree_sizes", "city_gml_id_index", "city_geometry_nodes", "city_geometry_density", "city_validate_graph", "city_room_edges", "city_room_boxes"]
 
 
 def files(folder):
@@ -99,3 +99,22 @@ def test_documents_whose_ids_repeat_are_built(spark, repeated, name):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 3
     # without the check the documents would be wrong (one ring a polygon either way)
     assert name == "geometry_density" or sorted(map(str, one(pick).select(*got.columns).collect())) != sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["city_applies_to", "city_rejected_edges", "city_building_breakdown"])
+def test_no_graph_is_built(spark, name, monkeypatch):
+    monkeypatch.setattr(city.construct, "build", lambda *a: pytest.fail("a graph is built"))
+    city._KEPT.clear()
+    assert star.queries()[name](spark, FOLDER).count() > 0 and not city._KEPT
+
+
+def test_references_that_need_the_graph(spark):
+    refs = spark.createDataFrame([("a", "p_1_0"), ("b", "polygon_3"), ("c", "p_ring_0"), ("d", "polygon:p_1"), ("e", "wall_7"), ("f", "buildingpart_x")], "doc_id string, ref string")
+    assert {r.doc_id for r in city.local.strange(refs).collect()} == {"b", "c", "d"}
+
+
+def test_boxes_of_documents_whose_ids_do_not_repeat(spark, repeated):
+    found, pick, built = repeated
+    rows = city.local.room_objects(pick, given=scalar.gml_id(city.F.col("attrs"))).where("doc_id in ('nation_3', 'nation_4')").select("doc_id", city.F.col("given").alias("id"), *city.spatial.BOX)
+    want = built.room_objects.where("doc_id in ('nation_3', 'nation_4')").select(*rows.columns)
+    assert want.count() == rows.count() > 0 and want.exceptAll(rows).isEmpty()
