@@ -101,7 +101,7 @@ def test_documents_whose_ids_repeat_are_built(spark, repeated, name):
     assert name == "geometry_density" or sorted(map(str, one(pick).select(*got.columns).collect())) != sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["city_applies_to", "city_rejected_edges", "city_building_breakdown"])
+@pytest.mark.parametrize("name", ["city_applies_to", "city_rejected_edges", "city_building_breakdown", "city_theme_coverage"])
 def test_no_graph_is_built(spark, name, monkeypatch):
     monkeypatch.setattr(city.construct, "build", lambda *a: pytest.fail("a graph is built"))
     city._KEPT.clear()
@@ -118,3 +118,12 @@ def test_boxes_of_documents_whose_ids_do_not_repeat(spark, repeated):
     rows = city.local.room_objects(pick, given=scalar.gml_id(city.F.col("attrs"))).where("doc_id in ('nation_3', 'nation_4')").select("doc_id", city.F.col("given").alias("id"), *city.spatial.BOX)
     want = built.room_objects.where("doc_id in ('nation_3', 'nation_4')").select(*rows.columns)
     assert want.count() == rows.count() > 0 and want.exceptAll(rows).isEmpty()
+
+
+@pytest.mark.parametrize("room", [256, 2])
+def test_documents_with_near_objects(spark, repeated, monkeypatch, room):
+    found, pick, built = repeated
+    monkeypatch.setattr(city.local, "ROOM", room)
+    got = {r.doc_id for r in city.local.near_documents(pick, city.T).collect()} - {"nation_1"}
+    near = built.graph.edges.where(city.F.col("relation").isin(*schema.SPATIAL)).select("doc_id").distinct()
+    assert got == {r.doc_id for r in near.collect()} - {"nation_1"} and got
