@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import boxes, scalar
 
-from . import graph, schema, summary, tree
+from . import construct, graph, schema, summary, tree
 from .construct import CONTAINERS, Built
 
 #: Property channels: key, and the tag whose presence promises it.
@@ -21,10 +21,11 @@ CHANNELS = [
 EXPECTING = [*schema.TAG_TYPES, *CONTAINERS, "ImplicitGeometry", "Polygon", "LinearRing", "pos", "posList", "Appearance", "target", "targetUri"]
 
 
-def expected_relations(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def expected_relations(elements: DataFrame, targets: DataFrame | None = None, counted: bool = False) -> DataFrame:
     """doc_id, relation, expected: every rule counted on the elements, in one pass and without moving one.
 
-    targets: the target elements, where a table of them is at hand.
+    targets: the target elements, where a table of them is at hand; counted: a row of elements stands for n with one tag and
+    one line of ancestors (local.counted), and targets are given.
     """
     tag, anc = F.col("tag"), F.col("anc")
     parent = tree.direct_parent_tag(anc)
@@ -65,11 +66,12 @@ def expected_relations(elements: DataFrame, targets: DataFrame | None = None) ->
     members = F.when(is_("Polygon") & owned, F.size(F.filter(anc, lambda a: a["tag"].isin("Solid", "MultiSurface")))).otherwise(0)
     # a position list is the child of a ring, whose place its own ancestors tell
     placed = via("LinearRing") & up(2)["tag"].isin("exterior", "interior") & (up(3)["tag"] == "Polygon") & owned
-    held = F.when(is_("pos") & placed, F.when(scalar.parse_pos(F.col("text")).isNotNull(), 1).otherwise(0)).when(is_("posList") & placed, scalar.pos_list_size(F.col("text"), F.col("attrs")["srsDimension"])).otherwise(0)
-    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    held = F.when(tag.isin("pos", "posList") & placed, F.col("held") if counted else construct.held()).otherwise(0)
+    n = F.col("n") if counted else F.lit(1)
+    count = lambda test: F.sum(F.when(test, n).otherwise(0)) if counted else F.count_if(F.coalesce(test, F.lit(False)))
     # an appearance without an owner above falls to an object of the document, if there is one
     look = count(is_("Appearance") & owned) + F.when(count(semantic & (tag != "Address")) > 0, count(is_("Appearance") & ~owned)).otherwise(0)
-    counted = elements.groupBy("doc_id").agg(*[count(t).alias(k) for k, t in tests.items()], look.alias("HAS_APPEARANCE"), F.sum(members).alias("HAS_GEOMETRY_MEMBER"), F.sum(held).cast("long").alias("HAS_POS"))
+    counted = elements.groupBy("doc_id").agg(*[count(t).alias(k) for k, t in tests.items()], look.alias("HAS_APPEARANCE"), F.sum(members * n).alias("HAS_GEOMETRY_MEMBER"), F.sum(held).cast("long").alias("HAS_POS"))
     sd = F.get(F.filter(F.transform(anc, lambda a, i: F.struct(a["eid"].alias("eid"), (F.get(anc, i - 1)["tag"] == "surfaceDataMember").alias("hit"))), lambda a: a["hit"]), F.lit(0))["eid"]
     refs = (elements if targets is None else targets).where(tag.isin("target", "targetUri")).select("doc_id", sd.alias("sd"), F.explode(scalar.target_refs(F.col("text"))).alias("ref")).where("sd is not null").distinct()
     applies = refs.groupBy("doc_id").agg(F.count("*").alias("APPLIES_TO"))
@@ -81,14 +83,19 @@ def expected_relations(elements: DataFrame, targets: DataFrame | None = None) ->
 
 def property_counts(built: Built) -> DataFrame:
     """doc_id, channel, expected, actual."""
+    return kept_properties(built.elements, built.records, built.graph.nodes)
+
+
+def kept_properties(elements: DataFrame, records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """property_counts of these elements, the documents of records and nodes."""
     parent = tree.direct_parent_tag(F.col("anc"))
-    below = built.elements.where(parent.isin(*schema.TAG_TYPES) & F.col("tag").isin(*[t for _, t in CHANNELS], *schema.GENERIC_TAGS))
+    below = elements.where(parent.isin(*schema.TAG_TYPES) & F.col("tag").isin(*[t for _, t in CHANNELS], *schema.GENERIC_TAGS))
     generic = F.col("tag").isin(*schema.GENERIC_TAGS)
     # an object counts once a channel, however many children promise it
     once = below.groupBy("doc_id", "parent_eid").agg(*[F.max((F.col("tag") == t).cast("int")).alias(k) for k, t in CHANNELS], F.count_if(generic).alias("generic_attributes"))
     sums = once.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in [*[k for k, _ in CHANNELS], "generic_attributes"]])
-    expected = _long(built.records.select("doc_id").distinct().join(sums, "doc_id", "left").na.fill(0), "expected")
-    nodes = built.graph.nodes.withColumn("semantic", F.col("node_type").isin(*schema.SEMANTIC_TYPES))
+    expected = _long(records.select("doc_id").distinct().join(sums, "doc_id", "left").na.fill(0), "expected")
+    nodes = nodes.withColumn("semantic", F.col("node_type").isin(*schema.SEMANTIC_TYPES))
     has = [F.count_if(F.col("semantic") & F.map_contains_key(F.col("props"), F.lit(k))).alias(k) for k, _ in CHANNELS]
     keys = F.filter(F.map_keys("props"), lambda k: k.startswith("attr_") & ~k.endswith("_uom"))
     actual = _long(nodes.groupBy("doc_id").agg(*has, F.sum(F.size(keys)).alias("generic_attributes")), "actual")
@@ -120,9 +127,20 @@ def spatial_scores(built: Built) -> DataFrame:
 
 def scorecard(built: Built) -> DataFrame:
     """One row a document: totals and scores."""
+    return cards(built).join(spatial_scores(built), "doc_id", "left")
+
+
+def cards(built: Built) -> DataFrame:
+    """The scorecard without inferred relations, which need not be built for it."""
     nodes, edges = built.graph.nodes, built.graph.edges
-    expected = graph.cut(expected_relations(built.elements))
     actual = edges.groupBy("doc_id", "relation").agg(F.count("*").alias("actual"))
+    semantic = built.records.groupBy("doc_id").agg(F.count("*").alias("semantic_expected"))
+    held = nodes.where(F.col("node_type").isin(*schema.SEMANTIC_TYPES, *schema.GEOMETRY_TYPES)).groupBy("doc_id").agg(F.count("*").alias("node_actual"))
+    return scores(graph.cut(expected_relations(built.elements)), actual, semantic, held, property_counts(built))
+
+
+def scores(expected: DataFrame, actual: DataFrame, semantic: DataFrame, held: DataFrame, properties: DataFrame) -> DataFrame:
+    """Totals and scores by document from doc_id, relation, expected; relation, actual; semantic_expected; node_actual; and property_counts."""
     relations = expected.join(actual, ["doc_id", "relation"], "left").na.fill(0, ["actual"])
     ratio = scalar.safe_ratio(F.col("actual"), F.col("expected"))
     relation = relations.groupBy("doc_id").agg(
@@ -130,16 +148,13 @@ def scorecard(built: Built) -> DataFrame:
     )
     geometry = F.col("relation").isin("HAS_LOD_GEOMETRY", "HAS_GEOMETRY_COMPONENT", "HAS_GEOMETRY", "HAS_RING", "HAS_POS")
     promised = expected.where(geometry).groupBy("doc_id").agg(F.sum("expected").alias("geometry_expected"))
-    semantic = built.records.groupBy("doc_id").agg(F.count("*").alias("semantic_expected"))
-    held = nodes.where(F.col("node_type").isin(*schema.SEMANTIC_TYPES, *schema.GEOMETRY_TYPES)).groupBy("doc_id").agg(F.count("*").alias("node_actual"))
-    props = property_counts(built).groupBy("doc_id").agg(F.sum("actual").alias("property_actual"), F.sum("expected").alias("property_expected"))
+    props = properties.groupBy("doc_id").agg(F.sum("actual").alias("property_actual"), F.sum("expected").alias("property_expected"))
     rows = relation.join(promised, "doc_id", "left").join(semantic, "doc_id", "left").join(held, "doc_id", "left").join(props, "doc_id", "left").na.fill(0)
     rows = rows.withColumn("node_expected", F.col("semantic_expected") + F.col("geometry_expected")).drop("semantic_expected", "geometry_expected")
     node, prop = (scalar.safe_ratio(F.col(f"{k}_actual"), F.col(f"{k}_expected")) for k in ("node", "property"))
     rows = rows.withColumn("overall", summary.overall(node, F.col("relation_ratio"), prop))
     percent = lambda c: F.bround(c * 100, 2)
-    rows = rows.withColumn("node_score", percent(node)).withColumn("property_score", percent(prop)).withColumn("relation_score", percent(F.col("relation_ratio"))).drop("relation_ratio")
-    return rows.join(spatial_scores(built), "doc_id", "left")
+    return rows.withColumn("node_score", percent(node)).withColumn("property_score", percent(prop)).withColumn("relation_score", percent(F.col("relation_ratio"))).drop("relation_ratio")
 
 
 def appearance_coverage(built: Built) -> DataFrame:

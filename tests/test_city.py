@@ -127,3 +127,78 @@ def test_documents_with_near_objects(spark, repeated, monkeypatch, room):
     got = {r.doc_id for r in city.local.near_documents(pick, city.T).collect()} - {"nation_1"}
     near = built.graph.edges.where(city.F.col("relation").isin(*schema.SPATIAL)).select("doc_id").distinct()
     assert got == {r.doc_id for r in near.collect()} - {"nation_1"} and got
+
+
+def test_a_scorecard_without_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(city.construct, "build", lambda *a: pytest.fail("a graph is built"))
+    city._KEPT.clear()
+    assert star.queries()["city_scorecard"](spark, FOLDER).count() == 25 and not city._KEPT
+
+
+CARD = ["doc_id", "node_score", "property_score", "relation_score", "overall", "node_expected", "node_actual", "property_expected", "property_actual", "relation_expected", "relation_actual"]
+
+
+def card_rows(cards):
+    return sorted(map(str, cards.select(*CARD).collect()))
+
+
+def near_cards(found, tags):
+    """Cards from the elements alone, properties from nodes that are not merged."""
+    recs = city.construct.records(found)
+    properties = city.score.kept_properties(found, recs, city.construct.semantic_nodes(found, recs))
+    return lambda pick: city.local.cards(pick, tags, *city.local.appearances(pick, None, recs), properties)
+
+
+def test_cards_of_documents_whose_ids_repeat(spark, repeated):
+    found, pick, built = repeated
+    near = near_cards(found, [*city.score.EXPECTING, "X3DMaterial"])
+    got = city.local.told(pick, [*city.local.SEMANTIC, *city.local.SHAPES], near, lambda rest: city.score.cards(city.construct.build(rest, city.T, False)))
+    want = card_rows(city.score.scorecard(built))
+    assert card_rows(got) == want and len(want) == 4
+    # without the check the documents would be wrong
+    wrong = {r.split("'")[1] for r in set(card_rows(near(pick))) ^ set(want)}
+    assert wrong == {"nation_1", "nation_2"}
+
+
+def test_cards_of_other_paths(spark):
+    """Containers within and without an owner, implicit geometries, objects below an address, rings and lists out of place, positions that cannot be read."""
+    F = city.F
+    shape = "Polygon exterior LinearRing posList"
+    lines = [  # path, id, text
+        ("cityObjectMember", None, None), ("cityObjectMember Building", "b", None), ("cityObjectMember Building name", None, "house"), ("cityObjectMember Building name", None, "home"), ("cityObjectMember Building class", None, None),
+        ("cityObjectMember Building lod1Solid Solid", "s", None), ("cityObjectMember Building lod1Solid Solid surfaceMember " + shape, "", "1 2 3 4 5 6"), ("cityObjectMember Building lod1Solid Solid surfaceMember Polygon interior LinearRing pos", None, "1 2 3"),
+        ("cityObjectMember Building lod1Solid Solid x MultiSurface", None, None), ("cityObjectMember Building lod1Solid Solid x MultiSurface y " + shape, "", "1 2 3 4 5"), ("cityObjectMember Building lod1Solid Solid x MultiSurface y Polygon LinearRing pos", None, "1 2 3"),
+        ("MultiSurface", None, None), ("MultiSurface cityObjectMember Room " + shape, "", "7 8 9"), ("MultiSurface cityObjectMember Room Polygon exterior LinearRing pos", None, "seven"), ("Solid " + shape, "", "1 2 3"),
+        ("cityObjectMember Building lod2 ImplicitGeometry", "i", None), ("ImplicitGeometry", None, None), ("Address", None, None), ("Address MultiCurve", None, None), ("Address " + shape, "", "1 2 3"), ("cityObjectMember Door", None, None),
+        ("cityObjectMember Building boundedBy WallSurface", "w", None), ("cityObjectMember Building boundedBy WallSurface opening Window", None, None), ("cityObjectMember Building boundedBy WallSurface opening Window address Address", None, None),
+        ("cityObjectMember Building interiorRoom Room", "r", None), ("cityObjectMember Building interiorRoom Room stuff BuildingFurniture", None, None), ("cityObjectMember Building interiorRoom Room interiorBuildingInstallation IntBuildingInstallation", None, None),
+        ("cityObjectMember Building appearance Appearance", None, None), ("cityObjectMember Building appearance Appearance surfaceDataMember Sheen", "m", None), ("cityObjectMember Building appearance Appearance surfaceDataMember Sheen target", None, "#s #w #b #gone"),
+        ("Appearance", None, None), ("Appearance surfaceDataMember X3DMaterial", None, None), ("Appearance surfaceDataMember X3DMaterial target", None, "#i #r"),
+    ]
+    rows, known = [], {}
+
+    def place(path, id_, text, again):
+        """The element of a path, its last ancestors first where they are not there yet."""
+        tags = tuple(path.split())
+        if len(tags) > 1 and tags[:-1] not in known:
+            place(" ".join(tags[:-1]), None, None, False)
+        anc = [*known[tags[:-1]][1], (known[tags[:-1]][0], tags[-2])] if len(tags) > 1 else []
+        if again or tags not in known:
+            eid = len(rows)
+            # what lies below a new element is new as well
+            for t in [t for t in known if t[: len(tags)] == tags]:
+                del known[t]
+            known[tags] = (eid, anc)
+            rows.append(("d", eid, eid, anc[-1][0] if anc else None, len(anc), tags[-1], None, text, {city.ID: id_} if id_ else {}, anc))
+
+    for path, id_, text in lines:
+        place(path, id_, text, True)
+    kinds = ", ".join(f"{n} {k}" for n, k in zip(city.ELEMENT, city._KINDS))
+    found = city.graph.cut(spark.createDataFrame(rows, kinds))
+    pick = lambda tags=None, bare=False, home=False: found if tags is None else found.where(F.col("tag").isin(*tags))
+    built = city.construct.build(found, city.T)
+    assert city.local.repeating(pick(city.local.SEMANTIC + city.local.SHAPES)) is None and {r.relation for r in built.graph.edges.collect()} >= {"HAS_LOD_GEOMETRY", "HAS_GEOMETRY_MEMBER", "HAS_GEOMETRY_COMPONENT", "APPLIES_TO", "HAS_POS"}
+    got, want = card_rows(near_cards(found, [*city.score.EXPECTING, "X3DMaterial", "Sheen"])(pick)), card_rows(city.score.scorecard(built))
+    assert got == want and len(want) == 1
+    counts = built.graph.edges.where(~F.col("relation").isin(*schema.SPATIAL)).groupBy("relation").count()
+    assert counts.where("relation = 'HAS_GEOMETRY_MEMBER'").head()["count"] == 3
