@@ -202,3 +202,16 @@ def test_cards_of_other_paths(spark):
     assert got == want and len(want) == 1
     counts = built.graph.edges.where(~F.col("relation").isin(*schema.SPATIAL)).groupBy("relation").count()
     assert counts.where("relation = 'HAS_GEOMETRY_MEMBER'").head()["count"] == 3
+
+
+def test_tables_are_left_out_by_their_tags(spark, monkeypatch):
+    """What a table is left out by are all the tags that its rows can have."""
+    seen = {}
+    monkeypatch.setattr(city, "_exploded", lambda rows, found, only, bare, home: seen.setdefault(home, {t for e in found for t in e.tags}) and [])
+    city._parts(spark, FOLDER)
+    seen.pop("nk")
+    assert seen == {"c_custkey": set(city._CUSTOMERS), "o_orderkey": set(city._ROOMS), "l_orderkey": set(city._THINGS), "s_suppkey": set(city._SUPPLIERS)}
+    for home, tags in list(seen.items()):
+        seen.clear()
+        city._parts(spark, FOLDER, [*tags][:1])
+        assert home in seen and ("l_orderkey" in seen) == (home == "l_orderkey" or bool({*tags} & set(city._THINGS) and [*tags][0] in city._THINGS))
