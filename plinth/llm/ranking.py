@@ -134,7 +134,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     usable = labels.select(F.col("doc_id").alias("label_id"), named(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     # repeated labels count, so they are numbered; bounded, so it may be broadcast
     chosen = usable.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(sample).groupBy("label_id", "y").agg(F.count("*").alias("times"))
-    rows = docs.select(F.col("doc_id"), named(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "times", "text")
+    # a text id may be no number: beside numbers, ids are compared as texts
+    mixed = "string" in (kinds := {dict(t.dtypes)["doc_id"] for t in (docs, labels)}) and len(kinds) > 1
+    same = F.col("doc_id").cast("string") == F.col("label_id").cast("string") if mixed else F.col("doc_id") == F.col("label_id")
+    rows = docs.select(F.col("doc_id"), named(text).alias("text")).join(F.broadcast(chosen), same).select("doc_id", "y", "times", "text")
     found = extract(rows.withColumn("y", (F.col("times") * 2 + F.col("y")).cast("int")), "doc_id", "y")
     one = found.groupBy("key", "y").agg(F.min("x").alias("x")).collect()  # at most ``sample`` rows
     one = sorted((r.key, r.y & 1, tuple(r.x)) for r in one for _ in range(r.y >> 1))

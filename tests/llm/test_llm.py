@@ -129,6 +129,23 @@ def test_repeated_ids_teach_once(spark, monkeypatch):
     assert [len(x) for x, _ in taught] == [2] and sorted(taught[0][1].tolist()) == [0, 1]
 
 
+@pytest.mark.parametrize("docs_kind, labels_kind", [("string", "long"), ("long", "string")])
+def test_ids_of_different_types_are_compared_as_texts(spark, monkeypatch, tmp_path, docs_kind, labels_kind):
+    import corpus_pipeline
+
+    taught = []
+    fit = ranking.fit
+    monkeypatch.setattr(ranking, "fit", lambda x, y: taught.append(y) or fit(x, y))
+    ids = [r.id for r in spark.range(100).where(~common.held_out(F.col("id"))).limit(2).collect()]
+    rows = lambda kind, values: [(str(i), v) for i, v in values] + [("7-1", values[0][1])] if kind == "string" else values
+    docs = spark.createDataFrame(rows(docs_kind, [(i, f"text of {i} !") for i in ids]), f"doc_id {docs_kind}, text string")
+    labels = spark.createDataFrame(rows(labels_kind, [(i, k) for k, i in enumerate(ids)]), f"doc_id {labels_kind}, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).columns == docs.columns
+    assert [sorted(y.tolist()) for y in taught] == [[0, 1]]
+
+
 def test_pairs_learn_an_order():
     rng = np.random.default_rng(0)
     x = rng.random((400, 16))
